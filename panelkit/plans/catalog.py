@@ -1,6 +1,7 @@
 """All queries. Importing the modules registers them."""
 
 from panelkit.plans import (  # noqa: F401
+    baseline_queries,
     panel_queries,
 )
 from panelkit.plans.registry import ORACLES, QUERIES
