@@ -2,7 +2,9 @@
 
 from panelkit.plans import (  # noqa: F401
     baseline_queries,
+    compare_queries,
     panel_queries,
+    quality_queries,
 )
 from panelkit.plans.registry import ORACLES, QUERIES
 
