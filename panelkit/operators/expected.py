@@ -8,6 +8,7 @@ cluster idle.
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -76,6 +77,7 @@ class ExpectedFit:
     predictions: DataFrame
     holdout: DataFrame
     training_sizes: DataFrame
+    seconds: dict[tuple, float]
 
 
 def fit_expected(
@@ -100,8 +102,13 @@ def fit_expected(
     def rows(df: DataFrame, values: tuple) -> DataFrame:
         return reduce(lambda d, gv: d.where(F.col(gv[0]) == gv[1]), zip(group, values), df)
 
+    seconds: dict[tuple, float] = {}
+
     def fit(values: tuple) -> PipelineModel:
-        return fit_group(rows(complete.where(~F.col("is_test")), values), response, forest, seed)
+        start = time.monotonic()
+        model = fit_group(rows(complete.where(~F.col("is_test")), values), response, forest, seed)
+        seconds[values] = time.monotonic() - start
+        return model
 
     with ThreadPoolExecutor(parallel_fits) as pool:
         models = dict(zip(groups, pool.map(fit, groups)))
@@ -115,6 +122,7 @@ def fit_expected(
         apply(table.where(F.col("is_target"))),
         apply(complete.where(F.col("is_test"))),
         sizes,
+        seconds,
     )
 
 
@@ -134,6 +142,17 @@ def fit_metrics(
     ).withColumn("model", model)
 
 
+def model_metrics(fit: ExpectedFit, group=GROUP) -> DataFrame:
+    """Training and test rows, error and fitting time per model."""
+    spark = fit.holdout.sparkSession
+    times = spark.createDataFrame(
+        [(*g, s) for g, s in fit.seconds.items()],
+        ", ".join([*[f"{g} string" for g in group], "runtime double"]),
+    )
+    errors = fit_metrics(fit.holdout, group).drop("n_test")
+    return fit.training_sizes.join(errors, list(group), "left").join(times, list(group), "left")
+
+
 def flag_models(metrics: DataFrame, p_high: float = 0.8, p_low: float = 0.1) -> DataFrame:
     """Models with an error above the high or below the low percentile.
 

@@ -3,6 +3,7 @@
 from panelkit.plans import (  # noqa: F401
     baseline_queries,
     compare_queries,
+    model_queries,
     panel_queries,
     quality_queries,
 )

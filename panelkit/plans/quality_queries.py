@@ -242,12 +242,13 @@ def box_stats(spark, d):
     return op.box_stats(data.staged_panel(spark, d), "count", ["alert_type"])
 
 
-@query("numeric_summary", """SELECT min(l_extendedprice) AS min, quantile_cont(l_extendedprice, 0.25) AS q1,
-  quantile_cont(l_extendedprice, 0.5) AS median, round(avg(l_extendedprice), 4) AS mean,
-  quantile_cont(l_extendedprice, 0.75) AS q3, max(l_extendedprice) AS max,
+@query("numeric_summary", """SELECT min(l_extendedprice) AS min, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1,
+  round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(avg(l_extendedprice), 4) AS mean,
+  round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, max(l_extendedprice) AS max,
   count(*) FILTER (WHERE l_extendedprice IS NULL) AS n_null FROM lineitem""")
 def numeric_summary(spark, d):
-    return data.shown(op.numeric_summary(data.table(spark, d, "lineitem"), "l_extendedprice"), "mean", digits=4)
+    summary = op.numeric_summary(data.table(spark, d, "lineitem"), "l_extendedprice")
+    return data.shown(summary, "q1", "median", "mean", "q3", digits=4)
 
 
 @query("pair_counts", with_(sql.PANEL, WIDE_DAYS,
