@@ -85,3 +85,24 @@ def spot_check(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) ->
     )
     sides = [F.col(f"{s}.{c}").alias(f"{c}_{n}") for c in cols for s, n in (("x", "left"), ("y", "right"))]
     return both.select(*keys, *sides, status.alias("status"))
+
+
+def extreme_rows(df: DataFrame, by: list[str], column: str, how=F.max) -> DataFrame:
+    """Rows that hold the extreme of their group, all of them when tied.
+
+    The extremes come from an aggregate that combines in the map tasks and join
+    back, so no task has to hold a whole group.
+    """
+    extremes = df.groupBy(*by).agg(how(column).alias("_extreme"))
+    return df.join(extremes, by).where(F.col(column) == F.col("_extreme")).drop("_extreme")
+
+
+def last_n(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The ``n`` rows with the greatest values: a top-k, not a full sort."""
+    return df.orderBy(F.desc_nulls_last(column)).limit(n)
+
+
+def split_and_append(df: DataFrame, condition, change) -> DataFrame:
+    """Change the rows that meet a condition and put them back with the rest."""
+    chosen = F.coalesce(condition, F.lit(False))
+    return df.where(~chosen).unionByName(change(df.where(chosen)))

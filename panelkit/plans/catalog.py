@@ -6,6 +6,7 @@ from panelkit.plans import (  # noqa: F401
     model_queries,
     panel_queries,
     quality_queries,
+    relational_queries,
 )
 from panelkit.plans.registry import ORACLES, QUERIES
 

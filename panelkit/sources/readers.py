@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelkit.functions.text import legal_names
 
@@ -13,7 +12,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType, null_value: str = "NA") -> DataFrame:
+def read_csv(spark: SparkSession, path, schema: str, null_value: str = "NA") -> DataFrame:
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -24,7 +23,7 @@ def read_csv(spark: SparkSession, path, schema: T.StructType, null_value: str =
 
 
 def read_delimited(
-    spark: SparkSession, path, schema: T.StructType, sep: str = ";", null_value: str = "..."
+    spark: SparkSession, path, schema: str, sep: str = ";", null_value: str = "..."
 ) -> DataFrame:
     """Text with its own separator and null token; the header line is replaced
     by the names of the schema."""
@@ -38,7 +37,7 @@ def read_delimited(
     )
 
 
-def read_reference(spark: SparkSession, path, schema: T.StructType, key: str) -> DataFrame:
+def read_reference(spark: SparkSession, path, schema: str, key: str) -> DataFrame:
     """Reference sheet saved as text: legal names, footer rows cut by their NULL key."""
     return cut_footer(legal_names(read_csv(spark, path, schema)), key)
 
@@ -47,9 +46,9 @@ def cut_footer(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull())
 
 
-def read_models(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
-    """All files of a glob as one table, with the model named by its file."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)_[^/]*$", 1)
+def read_models(spark: SparkSession, paths, schema: str) -> DataFrame:
+    """All ``<model>_..._pred.csv`` files of a glob as one table, with the model."""
+    name = F.regexp_extract(F.input_file_name(), r"/([^/_]+)_[^/]*_pred\.", 1)
     return read_csv(spark, paths, schema).withColumn("model", name)
 
 
@@ -91,3 +90,8 @@ def up_to(df: DataFrame, as_of, lag_days: int, date: str = "date") -> DataFrame:
     """Leave out the last days before ``as_of``, which are still filling up."""
     as_of = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
     return df.where(F.col(date) <= F.date_sub(as_of, lag_days))
+
+
+def read_sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """SQL text over named DataFrames, which it refers to as ``{name}``."""
+    return spark.sql(text, **tables)

@@ -1,49 +1,47 @@
-"""Explicit schemas of the tables that the operators read and write."""
+"""Explicit schemas, as DDL text, of the tables that the operators read and write."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 from panelkit.constants import KINDS
 
-HOURLY_COUNTS = T.StructType.fromDDL(
+HOURLY_COUNTS = (
     "state_part string, county_part string, date date, hour int, alert_type string, count long"
 )
-CASES = T.StructType.fromDDL(
+CASES = (
     "date date, county string, state string, fips string, cases long, deaths long"
 )
-PLACES = T.StructType.fromDDL("fips string, state string, county string")
-PANEL = T.StructType.fromDDL(
+PLACES = ("fips string, state string, county string")
+PANEL = (
     "fips string, state string, county string, date date, alert_type string, count long,"
     " cases long, deaths long, year int, month string, dow int"
 )
-DELINEATION = T.StructType.fromDDL(
+DELINEATION = (
     "cbsa_code string, cbsa_title string, csa_title string, division_code string,"
     " division_title string, metro_type string, central_outlying string, fips string"
 )
 
 
-def week_schema(place_columns: str, kinds=KINDS) -> T.StructType:
+def week_schema(place_columns: str, kinds=KINDS) -> str:
     """Weekly wide table: sums for the week, the year before and the week before."""
     measures = ", ".join(
         f"{m}_{k} double"
         for m in ("week_sum", "prior_year", "prev_week", "window_mean")
         for k in kinds
     )
-    return T.StructType.fromDDL(
+    return (
         f"{place_columns}, year int, week int, month_start int, {measures}"
     )
 
 
-def monthly_wide_schema() -> T.StructType:
+def monthly_wide_schema() -> str:
     months = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
-    return T.StructType.fromDDL(
+    return (
         "Year int, Type string, " + ", ".join(f"{m} long" for m in months)
     )
 
 
-def with_types(columns: list[str], default: str = "string", **types) -> T.StructType:
+def with_types(columns: list[str], default: str = "string", **types) -> str:
     """Schema for a text file where only some columns deviate from a default."""
-    return T.StructType.fromDDL(
+    return (
         ", ".join(f"`{c}` {types.get(c, default)}" for c in columns)
     )
