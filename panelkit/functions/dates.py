@@ -76,6 +76,19 @@ def parse_month(text) -> Column:
     return F.to_date(_col(text), "MMM yyyy")
 
 
+def in_years(d, years) -> Column:
+    """Whether a date falls in one of the years.
+
+    The outer bounds are a plain date range, which reaches the scan; a test on
+    ``year(date)`` alone would not.
+    """
+    d, years = _col(d), sorted(years)
+    first, last = (F.lit(day).cast("date") for day in (f"{years[0]}-01-01", f"{years[-1]}-12-31"))
+    inside = d.between(first, last)
+    gaps = len(set(years)) <= years[-1] - years[0]
+    return inside & F.year(d).isin(years) if gaps else inside
+
+
 def calendar_parts(df: DataFrame, date: str = "date") -> DataFrame:
     """Add year, month, day-of-week and week columns for a date."""
     return df.withColumns(

@@ -212,7 +212,7 @@ def state_weekly_counts(
     weeks = panel.where(
         F.col("fips").startswith(prefix)
         & (F.col("alert_type") == kind)
-        & F.year("date").isin(list(years))
+        & dates.in_years("date", years)
     ).groupBy(F.year("date").alias("year"), dates.epi_week("date").alias("week"))
     inside = (F.col("week") > after_week) & (F.col("week") < before_week)
     return weeks.agg(nulls.sum_or_zero("count").alias("total_count")).where(inside)
@@ -276,7 +276,7 @@ def filter_years_months(
     }
     df = panel
     if years is not None:
-        df = df.where(F.year("date").isin(list(years)))
+        df = df.where(dates.in_years("date", years))
     if months is not None:
         df = df.where(dates.month_text("date").isin(list(months)))
     for column, values in wanted.items():

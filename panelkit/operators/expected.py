@@ -91,7 +91,7 @@ def fit_expected(
     featured = model_features(panel).withColumns({
         "is_target": F.year("date") == target_year,
         "is_test": in_test(["fips", "date", "alert_type"], test_share),
-    }).where(F.year("date") <= target_year)
+    }).where(F.col("date") <= F.lit(f"{target_year}-12-31").cast("date"))
     table = stage(featured, "features", partition_by=group)
     complete = table.where(~F.col("is_target")).dropna(subset=[*PREDICTORS, response])
     sizes = complete.groupBy(*group).agg(
@@ -187,10 +187,8 @@ def baseline_mean_expected(panel: DataFrame, target_year: int, start: str, end:
     inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     same_day = W.partitionBy("fips", "alert_type", "_dow")
     mean = F.avg(F.when(inside, F.col("count"))).over(same_day)
-    first = F.make_date(F.lit(target_year), F.lit(1), F.lit(1))
-    last = F.make_date(F.lit(target_year), F.lit(12), F.lit(31))
     return (
-        panel.where(F.col("date").between(first, last))
+        panel.where(dates.in_years("date", [target_year]))
         .withColumn("_dow", F.dayofweek("date"))
         .withColumn("pred_count", nulls.rounded(mean, 1))
         .drop("_dow")

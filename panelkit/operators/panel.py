@@ -37,30 +37,66 @@ def known_places(dimension: DataFrame, key: str, *sources: DataFrame) -> DataFra
     return keep_members(dimension, key_union(key, *sources), key)
 
 
-def complete_grid(
-    counts: DataFrame, places: DataFrame, place: str = "fips", date: str = "date",
-    kind: str = "alert_type",
-) -> DataFrame:
-    """Every place x observed day x observed kind, with the counts that exist.
+def _place_days(counts: DataFrame, places: DataFrame, place: str, date: str, kind: str) -> DataFrame:
+    """Every place x observed day, with the list of observed kinds.
 
     Days and kinds are bounded by the calendar and the code list. They are
     reduced to one row, used as a scalar subquery, and expanded per place, so
-    no join without keys takes place and the grid is built where the places are.
+    no join without keys takes place. The few places are spread over a fixed
+    number of tasks first; adaptive execution would otherwise put them, and the
+    whole expansion, into one.
     """
     seen = counts.agg(
         F.struct(F.collect_set(date).alias("days"), F.collect_set(kind).alias("kinds"))
     ).scalar()
-    grid = (
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
         places.select(place)
         .where(F.col(place).isNotNull())
+        .repartition(tasks, place)
         .distinct()
         .withColumn("_seen", seen)
         .select(place, F.explode("_seen.days").alias(date), F.col("_seen.kinds").alias("_kinds"))
-        .select(place, date, F.explode("_kinds").alias(kind))
     )
+
+
+def complete_grid(
+    counts: DataFrame, places: DataFrame, place: str = "fips", date: str = "date",
+    kind: str = "alert_type",
+) -> DataFrame:
+    """Every place x observed day x observed kind, with the counts that exist."""
+    days = _place_days(counts, places, place, date, kind)
+    grid = days.select(place, date, F.explode("_kinds").alias(kind))
     return grid.join(counts, [place, date, kind], "left")
 
 
+def complete_panel(
+    counts: DataFrame, places: DataFrame, value: str = "count", place: str = "fips",
+    date: str = "date", kind: str = "alert_type",
+) -> DataFrame:
+    """:func:`complete_grid` and :func:`fill_true_zeros` with one join fewer keys.
+
+    The kinds of a place-day travel as one small map, so grid and counts meet
+    once per place and day, and the zeros follow from the map without a second
+    shuffle.
+    """
+    known = F.map_from_entries(F.collect_list(F.struct(kind, value))).alias("_known")
+    by_day = counts.where(F.col(kind).isNotNull()).groupBy(place, date).agg(known)
+    reported = F.coalesce(
+        F.exists(F.map_values("_known"), lambda v: v.isNotNull()), F.lit(False)
+    )
+    found = F.try_element_at("_known", F.col(kind))
+    return (
+        _place_days(counts, places, place, date, kind)
+        .join(by_day, [place, date], "left")
+        .select(place, date, F.explode("_kinds").alias(kind), "_known", reported.alias("_reported"))
+        .select(
+            place, date, kind,
+            F.when(F.col("_reported"), F.coalesce(found, F.lit(0))).otherwise(found).alias(value),
+        )
+    )
+
+
 def fill_true_zeros(panel: DataFrame, value: str, within: list[str]) -> DataFrame:
     """0 where another kind reported for the same place and day, else NULL."""
     reported = F.count(value).over(W.partitionBy(*within)) > 0
@@ -113,7 +149,7 @@ def build_panel(
     here; hand in a staged table when it comes from a large scan.
     """
     places = known_places(dimension, "fips", daily, cases)
-    panel = fill_true_zeros(complete_grid(daily, places), "count", ["fips", "date"])
+    panel = complete_panel(daily, places)
     panel = attach_measure(panel, cases.select("fips", "date", "cases", "deaths"), ["fips", "date"])
     panel = attach_dimension(panel, places)
     in_span = keep_members(keep_members(cases, daily.select("date").distinct(), "date"), places, "fips")

@@ -12,8 +12,7 @@ from panelkit.operators.reshape import widen
 
 def _chosen(panel: DataFrame, year: int, months, states) -> DataFrame:
     """Rows of the substitute year; the date range reaches the scan."""
-    start, end = (F.make_date(F.lit(y), F.lit(1), F.lit(1)) for y in (year, year + 1))
-    return panel.where((F.col("date") >= start) & (F.col("date") < end)).withColumns({
+    return panel.where(dates.in_years("date", [year])).withColumns({
         "month": dates.month_text("date"),
         "dow": dates.day_of_week("date"),
         "week": dates.simple_week("date"),

@@ -10,6 +10,7 @@ from panelkit.operators import keys, metro, panel as op
 from panelkit.plans import sql, stand_ins as data
 from panelkit.plans.registry import query
 from panelkit.plans.sql import with_
+from panelkit.session import stage
 
 CELL = "fips, date, alert_type"
 
@@ -27,7 +28,9 @@ def _grid(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _filled(spark, d) -> DataFrame:
-    return op.fill_true_zeros(_grid(spark, d)[0], "count", ["fips", "date"])
+    daily, cases = data.staged_daily(spark, d), data.cases(spark, d)
+    places = op.known_places(data.places(spark, d), "fips", daily, cases)
+    return op.complete_panel(daily, places)
 
 
 @query("known_places", with_(sql.PLACES, sql.DAILY, sql.CASES,
@@ -43,6 +46,11 @@ def complete_grid(spark, d):
 
 @query("fill_true_zeros", with_(sql.FILLED, "SELECT * FROM filled"))
 def fill_true_zeros(spark, d):
+    return op.fill_true_zeros(_grid(spark, d)[0], "count", ["fips", "date"])
+
+
+@query("complete_panel", with_(sql.FILLED, "SELECT * FROM filled"))
+def complete_panel(spark, d):
     return _filled(spark, d)
 
 
@@ -61,7 +69,7 @@ def attach_dimension(spark, d):
 @query("fill_from_first_observed", with_(sql.FULL, f"SELECT {CELL}, count, cases, deaths FROM full_panel"))
 def fill_from_first_observed(spark, d):
     attached = op.attach_measure(_filled(spark, d), data.cases(spark, d), ["fips", "date"])
-    return op.fill_from_first_observed(attached, "date", ["cases", "deaths"])
+    return op.fill_from_first_observed(stage(attached, "attached"), "date", ["cases", "deaths"])
 
 
 @query("calendar_parts", with_(sql.DAILY, f"""SELECT DISTINCT date, {sql.year('date')} AS year, {sql.month('date')} AS month,
