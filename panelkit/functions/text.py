@@ -11,8 +11,9 @@ def _col(c) -> Column:
 
 
 def padded(number, width: int) -> Column:
-    """Zero-padded integer that is never cut when it is longer."""
-    return F.format_string(f"%0{width}d", _col(number))
+    """Zero-padded code number that is never cut when it is longer."""
+    digits = _col(number).cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
 
 
 def place_code(state_part, county_part) -> Column:

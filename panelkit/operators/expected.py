@@ -82,7 +82,7 @@ class ExpectedFit:
 
 def fit_expected(
     panel: DataFrame, target_year: int, *, group=GROUP, response: str = "count",
-    forest: dict = FOREST, test_share: float = TEST_SHARE, parallel_fits: int = 4, seed: int = 2019,
+    forest: dict = FOREST, test_share: float = TEST_SHARE, parallel_fits: int = 8, seed: int = 2019,
 ) -> ExpectedFit:
     """Fit the years before the target per group, and predict the target year.
 

@@ -31,18 +31,16 @@ def running_totals(values: DataFrame, by: list[str], order: str, sums: list[str]
     """Add ``<s>_upto``, the sum of ``s`` over the group up to and with the row.
 
     ``values`` is unique on (by, order). A NULL in ``by`` is a group of its own.
+    Without ``by`` the whole table is one group.
     """
-    if not by:
-        return running_totals(
-            values.withColumn("_all", F.lit(0)), ["_all"], order, sums
-        ).drop("_all")
     steps = [i / RANGES for i in range(1, RANGES)]
-    group = F.struct(*by).alias("_group")
-    keyed = values.select("*", group)
-    cuts = keyed.groupBy("_group").agg(
-        F.percentile_approx(order, steps, 1000).alias("_cuts")
-    )
-    ranged = keyed.join(cuts, "_group").withColumn(
+    cuts = F.percentile_approx(order, steps, 1000)
+    keyed = values.withColumn("_group", F.struct(*by) if by else F.lit(0))
+    if by:
+        cut = keyed.join(keyed.groupBy("_group").agg(cuts.alias("_cuts")), "_group")
+    else:
+        cut = keyed.withColumn("_cuts", values.agg(cuts).scalar())
+    ranged = cut.withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     ).drop("_cuts")
     before = W.partitionBy("_group").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)

@@ -159,12 +159,12 @@ capped_weeks AS (SELECT * REPLACE ({sql.each('nullif(prior_year_{k}, 0) AS prior
 DAY_MEANS = [f"prior_mean_{k}" for k in KINDS]
 
 
-def capped_days(spark, d) -> DataFrame:
-    return op.capped_change_day(metro_days(spark, d))
+def capped_days(spark, d, panel: DataFrame | None = None) -> DataFrame:
+    return op.capped_change_day(metro_days(spark, d, panel))
 
 
-def capped_weeks(spark, d) -> DataFrame:
-    return op.capped_change_week(metro_weeks(spark, d))
+def capped_weeks(spark, d, panel: DataFrame | None = None) -> DataFrame:
+    return op.capped_change_week(metro_weeks(spark, d, panel))
 
 
 @query("capped_change_day", with_(CAPPED_DAYS, f"SELECT * REPLACE ({_rounded(DAY_MEANS)}) FROM capped_days"))
@@ -204,7 +204,8 @@ week AS (SELECT * FROM capped_weeks WHERE csa_title = 'ASIA'
   UNION ALL SELECT 'Weekly', 'From Prior Year', pct_crash, pct_jam FROM week WHERE state = 'ASIA'
   UNION ALL SELECT 'Weekly', 'From Previous Week', pct_crash_prev, pct_jam_prev FROM week WHERE state = 'ASIA'"""))
 def metro_scorecard(spark, d):
-    days, weeks = stage(capped_days(spark, d), "days"), stage(capped_weeks(spark, d), "weeks")
+    panel = data.staged_panel(spark, d)
+    days, weeks = stage(capped_days(spark, d, panel), "days"), stage(capped_weeks(spark, d, panel), "weeks")
     return op.metro_scorecard(days, weeks, "ASIA", "ASIA")
 
 

@@ -226,16 +226,16 @@ def metro_filter_central(spark, d):
 COUNTY = ["fips", "state", "county"]
 
 
-def metro_days(spark, d) -> DataFrame:
+def metro_days(spark, d, panel: DataFrame | None = None) -> DataFrame:
     """Daily sums per metro area, with the matched means of the year before."""
-    matched = op.daily_match_panel(data.panel(spark, d), COUNTY)
+    matched = op.daily_match_panel(data.panel(spark, d) if panel is None else panel, COUNTY)
     central = metro.metro_filter(matched, data.delineation(spark, d), require_csa=True, central_only=True)
     return metro.metro_rollup_day(central)
 
 
-def metro_weeks(spark, d) -> DataFrame:
+def metro_weeks(spark, d, panel: DataFrame | None = None) -> DataFrame:
     """Weekly sums per metro area, with the year before and the week before."""
-    weekly = op.weekly_panel(data.panel(spark, d), COUNTY)
+    weekly = op.weekly_panel(data.panel(spark, d) if panel is None else panel, COUNTY)
     central = metro.metro_filter(weekly, data.delineation(spark, d), require_csa=True, central_only=True)
     return metro.metro_rollup_week(central)
 

@@ -35,15 +35,19 @@ def kind(flag: str = "l_returnflag") -> Column:
     return named
 
 
-def places(spark: SparkSession, d: str) -> DataFrame:
+def _nations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").join(
         table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select(
-        padded("n_nationkey", 5).alias("fips"), F.col("r_name").alias("state"),
+        "n_nationkey", padded("n_nationkey", 5).alias("fips"), F.col("r_name").alias("state"),
         F.col("n_name").alias("county"),
     )
 
 
+def places(spark: SparkSession, d: str) -> DataFrame:
+    return _nations(spark, d).drop("n_nationkey")
+
+
 def raw_counts(spark: SparkSession, d: str) -> DataFrame:
     """One row per shipped line, its place as two code parts."""
     code = padded("s_nationkey", 5)
@@ -56,32 +60,32 @@ def raw_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def daily(spark: SparkSession, d: str) -> DataFrame:
-    """Counts per place, day and kind.
-
-    The aggregate runs on the integer nation key; the code text is made from
-    its few result rows.
-    """
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per nation key, day and flag; names are attached to the few results."""
     supplier = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    cells = (
+    return (
         table(spark, d, "lineitem")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", F.to_date("l_shipdate").alias("date"), "l_returnflag")
         .agg(F.sum("l_quantity").cast("long").alias("count"))
     )
-    return cells.select(padded("s_nationkey", 5).alias("fips"), "date", kind().alias("alert_type"), "count")
+
+
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per place, day and kind."""
+    codes = table(spark, d, "nation").select("n_nationkey", padded("n_nationkey", 5).alias("fips"))
+    cells = _cells(spark, d).join(codes, F.col("s_nationkey") == F.col("n_nationkey"))
+    return cells.select("fips", "date", kind().alias("alert_type"), "count")
 
 
 def staged_daily(spark: SparkSession, d: str) -> DataFrame:
     return stage(daily(spark, d), "daily")
 
 
-def panel(spark: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
+def panel(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts with place names, only the cells that occur."""
-    cells = daily(spark, d) if cells is None else cells
-    return cells.join(places(spark, d), "fips").select(
-        "fips", "state", "county", "date", "alert_type", "count"
-    )
+    named = _cells(spark, d).join(_nations(spark, d), F.col("s_nationkey") == F.col("n_nationkey"))
+    return named.select("fips", "state", "county", "date", kind().alias("alert_type"), "count")
 
 
 def staged_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +103,10 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("c_nationkey", F.to_date("o_orderdate").alias("date"))
         .agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("o_orderstatus") == "F").alias("deaths"))
     )
-    return counted.select(padded("c_nationkey", 5).alias("fips"), "date", "cases", "deaths")
+    codes = table(spark, d, "nation").select("n_nationkey", padded("n_nationkey", 5).alias("fips"))
+    return counted.join(codes, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "fips", "date", "cases", "deaths"
+    )
 
 
 def delineation(spark: SparkSession, d: str) -> DataFrame:
