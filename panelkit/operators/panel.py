@@ -18,6 +18,7 @@ from panelkit.constants import KINDS
 from panelkit.functions import dates, nulls
 from panelkit.operators.keys import keep_members, key_union
 from panelkit.operators.reshape import widen, widen_sums
+from panelkit.session import stage
 
 
 def daily_counts(
@@ -37,6 +38,11 @@ def known_places(dimension: DataFrame, key: str, *sources: DataFrame) -> DataFra
     return keep_members(dimension, key_union(key, *sources), key)
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by key over a number of tasks that adaptive execution leaves alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _place_days(counts: DataFrame, places: DataFrame, place: str, date: str, kind: str) -> DataFrame:
     """Every place x observed day, with the list of observed kinds.
 
@@ -49,11 +55,8 @@ def _place_days(counts: DataFrame, places: DataFrame, place: str, date: str, kin
     seen = counts.agg(
         F.struct(F.collect_set(date).alias("days"), F.collect_set(kind).alias("kinds"))
     ).scalar()
-    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        places.select(place)
-        .where(F.col(place).isNotNull())
-        .repartition(tasks, place)
+        _spread(places.select(place).where(F.col(place).isNotNull()), place)
         .distinct()
         .withColumn("_seen", seen)
         .select(place, F.explode("_seen.days").alias(date), F.col("_seen.kinds").alias("_kinds"))
@@ -161,17 +164,25 @@ def build_panel(
 def zero_fill_days(
     events: DataFrame, place: str, date: str, value: str, attributes: list[str]
 ) -> DataFrame:
-    """Every place x observed day, 0 where nothing happened; attributes carried."""
-    first = F.min_by(F.struct(*attributes), F.col(date)).alias("_attributes")
-    seen = events.agg(F.collect_set(date)).scalar()
+    """Every place x observed day, 0 where nothing happened; attributes carried.
+
+    The events are read once; days and places come from the staged daily sums.
+    """
+    daily = stage(
+        events.groupBy(place, date).agg(
+            F.sum(value).alias("sum_count"), F.count(F.lit(1)).alias("samp"),
+            F.min(F.struct(*attributes)).alias("_attributes"),
+        ),
+        "daily",
+    )
+    seen = daily.agg(F.collect_set(date)).scalar()
     grid = (
-        events.groupBy(place).agg(first)
+        _spread(daily.select(place, date, "_attributes"), place)
+        .groupBy(place).agg(F.min_by("_attributes", date).alias("_attributes"))
         .select(place, "_attributes.*", F.explode(seen).alias(date))
     )
-    daily = events.groupBy(place, date).agg(
-        F.sum(value).alias("sum_count"), F.count(F.lit(1)).alias("samp")
-    )
-    return grid.join(daily, [place, date], "left").fillna({"sum_count": 0, "samp": 0})
+    sums = daily.drop("_attributes")
+    return grid.join(sums, [place, date], "left").fillna({"sum_count": 0, "samp": 0})
 
 
 def weekly_panel(
