@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -57,11 +57,13 @@ def split_train_test(
     return (kept if thin is None else kept.where(thin)).withColumn("is_test", test)
 
 
-def fit_group(train: DataFrame, response: str, forest: dict, seed: int) -> PipelineModel:
-    """One forest over the complete training rows of a group."""
+def fit_group(
+    train: DataFrame, labels: list[list[str]], response: str, forest: dict, seed: int
+) -> PipelineModel:
+    """One forest over the training rows of a group, given its category labels."""
     indexed = [f"{c}_index" for c in CATEGORIES]
-    encode = StringIndexer(inputCols=CATEGORIES, outputCols=indexed, handleInvalid="keep").fit(train)
-    bins = max(32, 1 + max(len(labels) for labels in encode.labelsArray))
+    encode = StringIndexerModel.from_arrays_of_labels(labels, CATEGORIES, indexed, handleInvalid="keep")
+    bins = max(32, 1 + max(len(values) for values in labels))
     assemble = VectorAssembler(inputCols=[*indexed, "weekend"], outputCol="features")
     model = RandomForestRegressor(
         labelCol=response, predictionCol="pred_count", maxBins=bins, seed=seed, **forest
@@ -69,61 +71,70 @@ def fit_group(train: DataFrame, response: str, forest: dict, seed: int) -> Pipel
     return Pipeline(stages=[encode, assemble, model]).fit(train)
 
 
+def _group_rows(df: DataFrame, group, values: tuple) -> DataFrame:
+    return reduce(lambda d, gv: d.where(F.col(gv[0]).eqNullSafe(gv[1])), zip(group, values), df)
+
+
 @dataclass
 class ExpectedFit:
-    """Models by group, target-year predictions, and rows with their role."""
+    """Models by group, and the rows they were made from and apply to."""
 
     models: dict[tuple, PipelineModel]
-    predictions: DataFrame
-    holdout: DataFrame
-    training_sizes: DataFrame
     seconds: dict[tuple, float]
+    group: tuple[str, ...]
+    target: DataFrame
+    complete: DataFrame
+
+    def _scored(self, df: DataFrame) -> DataFrame:
+        parts = [
+            model.transform(_group_rows(df, self.group, values)).select(*df.columns, "pred_count")
+            for values, model in self.models.items()
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    @property
+    def predictions(self) -> DataFrame:
+        """Rows of the target year, whether or not their count is known."""
+        return self._scored(self.target)
+
+    @property
+    def holdout(self) -> DataFrame:
+        """Rows of earlier years that were kept out of the fits."""
+        return self._scored(self.complete.where("is_test"))
+
+    @property
+    def training_sizes(self) -> DataFrame:
+        return self.complete.groupBy(*self.group).agg(
+            F.count_if(~F.col("is_test")).alias("n_fit"), F.count_if(F.col("is_test")).alias("n_test")
+        )
 
 
 def fit_expected(
     panel: DataFrame, target_year: int, *, group=GROUP, response: str = "count",
-    forest: dict = FOREST, test_share: float = TEST_SHARE, parallel_fits: int = 8, seed: int = 2019,
+    forest: dict = FOREST, test_share: float = TEST_SHARE, parallel_fits: int = 16, seed: int = 2019,
 ) -> ExpectedFit:
-    """Fit the years before the target per group, and predict the target year.
-
-    Target rows are predicted whether or not their count is known.
-    """
+    """Fit the years before the target per group, to predict the target year."""
     featured = model_features(panel).withColumns({
         "is_target": F.year("date") == target_year,
         "is_test": in_test(["fips", "date", "alert_type"], test_share),
     }).where(F.col("date") <= F.lit(f"{target_year}-12-31").cast("date"))
     table = stage(featured, "features", partition_by=group)
     complete = table.where(~F.col("is_target")).dropna(subset=[*PREDICTORS, response])
-    sizes = complete.groupBy(*group).agg(
-        F.count_if(~F.col("is_test")).alias("n_fit"), F.count_if(F.col("is_test")).alias("n_test")
-    )
-    groups = [tuple(r) for r in sizes.where("n_fit > 0").select(*group).collect()]
-
-    def rows(df: DataFrame, values: tuple) -> DataFrame:
-        return reduce(lambda d, gv: d.where(F.col(gv[0]) == gv[1]), zip(group, values), df)
-
+    train = complete.where(~F.col("is_test"))
+    # One row per group with its category labels: bounded by the codes in use.
+    found = train.groupBy(*group).agg(*[F.array_sort(F.collect_set(c)) for c in CATEGORIES]).collect()
+    labels = {tuple(r[:len(group)]): list(r[len(group):]) for r in found}
     seconds: dict[tuple, float] = {}
 
     def fit(values: tuple) -> PipelineModel:
         start = time.monotonic()
-        model = fit_group(rows(complete.where(~F.col("is_test")), values), response, forest, seed)
+        model = fit_group(_group_rows(train, group, values), labels[values], response, forest, seed)
         seconds[values] = time.monotonic() - start
         return model
 
     with ThreadPoolExecutor(parallel_fits) as pool:
-        models = dict(zip(groups, pool.map(fit, groups)))
-
-    def apply(df: DataFrame) -> DataFrame:
-        scored = [m.transform(rows(df, g)).select(*table.columns, "pred_count") for g, m in models.items()]
-        return reduce(DataFrame.unionByName, scored)
-
-    return ExpectedFit(
-        models,
-        apply(table.where(F.col("is_target"))),
-        apply(complete.where(F.col("is_test"))),
-        sizes,
-        seconds,
-    )
+        models = dict(zip(labels, pool.map(fit, labels)))
+    return ExpectedFit(models, seconds, tuple(group), table.where("is_target"), complete)
 
 
 def save_models(fit: ExpectedFit, base: str) -> None:

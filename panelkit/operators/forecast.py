@@ -61,7 +61,7 @@ def lag_embed(series: DataFrame, by: list[str], k: int = LAGS, value: str = "y")
 
 def direct_forecast(
     series: DataFrame, by: list[str], end: str, *, lags: int = LAGS, horizon: int = HORIZON,
-    forest: dict = FORECAST_FOREST, parallel_fits: int = 8, seed: int = 2019,
+    forest: dict = FORECAST_FOREST, parallel_fits: int = 12, seed: int = 2019,
 ) -> DataFrame:
     """Forecast of ``y`` for each step after ``end``, a forest per step.
 

@@ -33,11 +33,11 @@ def model_features(spark, d):
 
 @query("split_train_test", """SELECT l_orderkey, l_linenumber, l_quantity,
   (l_orderkey * 7 + l_linenumber) % 10 < 3 AS is_test
-  FROM lineitem WHERE l_quantity IS NOT NULL AND l_shipdate IS NOT NULL AND l_orderkey % 4 <> 0""")
+  FROM lineitem WHERE l_quantity IS NOT NULL AND l_shipdate IS NOT NULL""")
 def split_train_test(spark, d):
     rows = data.table(spark, d, "lineitem")
     test = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10 < 3
-    split = op.split_train_test(rows, ["l_quantity", "l_shipdate"], test, thin=F.col("l_orderkey") % 4 != 0)
+    split = op.split_train_test(rows, ["l_quantity", "l_shipdate"], test)
     return split.select("l_orderkey", "l_linenumber", "l_quantity", "is_test")
 
 
@@ -165,14 +165,14 @@ def _diffed(lag: int, name: str = "diffed") -> str:
 {name} AS (SELECT * FROM logged WHERE y IS NOT NULL)"""
 
 
-@query("log_diff", with_(SERIES, _diffed(1), "SELECT * REPLACE (round(y, 9) AS y) FROM diffed"))
+@query("log_diff", with_(SERIES, _diffed(1), "SELECT * REPLACE (round(y, 6) AS y) FROM diffed"))
 def log_diff(spark, d):
-    return data.shown(fc.log_diff(data.monthly_series(spark, d), BY), "y", digits=9)
+    return data.shown(fc.log_diff(data.monthly_series(spark, d), BY), "y")
 
 
-@query("log_diff_seasonal", with_(SERIES, _diffed(12), "SELECT * REPLACE (round(y, 9) AS y) FROM diffed"))
+@query("log_diff_seasonal", with_(SERIES, _diffed(12), "SELECT * REPLACE (round(y, 6) AS y) FROM diffed"))
 def log_diff_seasonal(spark, d):
-    return data.shown(fc.log_diff(data.monthly_series(spark, d), BY, SEASON), "y", digits=9)
+    return data.shown(fc.log_diff(data.monthly_series(spark, d), BY, SEASON), "y")
 
 
 LAG_NAMES = [f"lag{i}" for i in range(1, LAGS + 1)]
@@ -180,11 +180,11 @@ LAG_NAMES = [f"lag{i}" for i in range(1, LAGS + 1)]
 
 @query("lag_embed", with_(SERIES, _diffed(1), "lagged AS (SELECT *, " + ", ".join(
        f"lag(y, {i}) OVER (PARTITION BY state, alert_type ORDER BY period) AS lag{i}" for i in range(1, LAGS + 1))
-       + " FROM diffed)", "SELECT * REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in ["y", *LAG_NAMES])
+       + " FROM diffed)", "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in ["y", *LAG_NAMES])
        + ") FROM lagged WHERE lag6 IS NOT NULL"))
 def lag_embed(spark, d):
     embedded = fc.lag_embed(fc.log_diff(data.monthly_series(spark, d), BY), BY)
-    return data.shown(embedded, "y", *LAG_NAMES, digits=9)
+    return data.shown(embedded, "y", *LAG_NAMES)
 
 
 def forecasts(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -257,9 +257,9 @@ def pair_counts(spark, d):
     return op.pair_counts(wide_days(data.panel(spark, d)), "count_ACCIDENT", "count_JAM")
 
 
-# Months in which a place had an unusual number of days leave gaps to report.
+# Months whose number of cells is a multiple of five are left out, to have gaps to report.
 @query("gap_report", with_(sql.PANEL, """months AS (SELECT fips, date_trunc('month', date)::DATE AS period,
-  nullif(count(*) % 7, 0) AS value FROM panel WHERE day(date) <= 10 GROUP BY ALL HAVING count(*) % 5 <> 0),
+  nullif(count(*) % 7, 0) AS value FROM panel GROUP BY ALL HAVING count(*) % 5 <> 0),
 spans AS (SELECT fips, unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH))::DATE AS period
   FROM months GROUP BY fips)""",
        """SELECT s.fips, s.period, 'missing' AS gap FROM spans s ANTI JOIN months m ON m.fips = s.fips AND m.period = s.period
@@ -267,7 +267,7 @@ spans AS (SELECT fips, unnest(generate_series(min(period), max(period), INTERVAL
 def gap_report(spark, d):
     n = F.count(F.lit(1))
     months = (
-        data.panel(spark, d).where(F.dayofmonth("date") <= 10)
+        data.panel(spark, d)
         .groupBy("fips", dates.month_start("date").alias("period"))
         .agg(F.nullif(n % 7, F.lit(0)).alias("value"), n.alias("n"))
         .where(F.col("n") % 5 != 0)

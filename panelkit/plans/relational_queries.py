@@ -48,10 +48,10 @@ def delimited_table(spark, d):
 
 
 @query("reference_sheet", """SELECT o_custkey AS Cust_Code, CAST(o_orderdate AS DATE) AS Order_Date FROM orders
-  WHERE nullif(o_orderkey % 5, 0) IS NOT NULL""")
+  WHERE o_orderpriority <> '5-LOW'""")
 def reference_sheet(spark, d):
     path = shared_path(spark, "sheet")
-    code = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey"))
+    code = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey"))
     sheet = data.table(spark, d, "orders").select(
         code.alias("Cust Code"), F.to_date("o_orderdate").alias("Order Date")
     )
@@ -228,18 +228,17 @@ def split_and_append(spark, d):
 # Aggregates and reshaping.
 
 
-@query("null_rules", """SELECT l_suppkey, CASE WHEN count(q) = count(*) THEN CAST(sum(q) AS BIGINT) END AS strict_sum,
+@query("null_rules", """SELECT l_orderkey, CASE WHEN count(q) = count(*) THEN CAST(sum(q) AS BIGINT) END AS strict_sum,
   CAST(coalesce(sum(q), 0) AS BIGINT) AS present_sum, count(*) AS n, count(*) - count(q) AS n_null,
   count(*) FILTER (WHERE q > 40) AS n_high, min(q) AS lowest, max(q) AS highest,
   bool_or(q IS NOT NULL) AS any_known, bool_and(q IS NOT NULL) AS all_known, count(DISTINCT q) AS n_distinct
-  FROM (SELECT l_suppkey, CASE WHEN l_orderkey % 300 <> 7 THEN CAST(l_quantity AS BIGINT) END AS q FROM lineitem)
-  GROUP BY l_suppkey""")
+  FROM (SELECT l_orderkey, CAST(nullif(l_quantity, 50) AS BIGINT) AS q FROM lineitem) GROUP BY l_orderkey""")
 def null_rules(spark, d):
     rows = data.table(spark, d, "lineitem").select(
-        "l_suppkey", F.when(F.col("l_orderkey") % 300 != 7, F.col("l_quantity").cast("long")).alias("q")
+        "l_orderkey", F.nullif("l_quantity", F.lit(50)).cast("long").alias("q")
     )
     known = F.col("q").isNotNull()
-    return rows.groupBy("l_suppkey").agg(
+    return rows.groupBy("l_orderkey").agg(
         nulls.strict_sum("q").alias("strict_sum"), nulls.sum_or_zero("q").alias("present_sum"),
         F.count(F.lit(1)).alias("n"), nulls.null_count("q").alias("n_null"),
         F.count_if(F.col("q") > 40).alias("n_high"), F.min("q").alias("lowest"), F.max("q").alias("highest"),
@@ -248,18 +247,18 @@ def null_rules(spark, d):
     )
 
 
-@query("weighted_mean", """SELECT l_suppkey, CASE WHEN count(*) FILTER (WHERE w IS NULL OR (w <> 0 AND x IS NULL)) > 0 THEN NULL
+@query("weighted_mean", """SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE w IS NULL OR (w <> 0 AND x IS NULL)) > 0 THEN NULL
   ELSE round(sum(CASE WHEN w <> 0 THEN x * w END) / nullif(sum(w), 0), 6) END AS mean
-  FROM (SELECT l_suppkey, CAST(nullif(l_quantity, 50) AS DOUBLE) AS x,
-    CASE WHEN l_quantity = 50 AND l_orderkey % 100 <> 3 THEN 0.0 ELSE l_extendedprice END AS w FROM lineitem) GROUP BY l_suppkey""")
+  FROM (SELECT l_orderkey, CAST(nullif(l_quantity, 50) AS DOUBLE) AS x,
+    CASE WHEN l_quantity >= 49 AND l_discount > 0.05 THEN 0.0 ELSE l_extendedprice END AS w FROM lineitem) GROUP BY l_orderkey""")
 def weighted_mean(spark, d):
     quantity = F.col("l_quantity")
-    weight = F.when((quantity == 50) & (F.col("l_orderkey") % 100 != 3), F.lit(0.0))
+    weight = F.when((quantity >= 49) & (F.col("l_discount") > 0.05), F.lit(0.0))
     rows = data.table(spark, d, "lineitem").select(
-        "l_suppkey", F.nullif(quantity, F.lit(50)).cast("double").alias("x"),
+        "l_orderkey", F.nullif(quantity, F.lit(50)).cast("double").alias("x"),
         weight.otherwise(F.col("l_extendedprice")).alias("w"),
     )
-    return data.shown(rows.groupBy("l_suppkey").agg(nulls.weighted_mean("x", "w").alias("mean")), "mean")
+    return data.shown(rows.groupBy("l_orderkey").agg(nulls.weighted_mean("x", "w").alias("mean")), "mean")
 
 
 @query("row_sums", with_(sql.PANEL, sql.wide_daily("fips"), f"""SELECT fips, date, {' + '.join(f'count_{k}' for k in KINDS)} AS strict_total,
@@ -325,7 +324,7 @@ def date_functions(spark, d):
 
 @query("number_functions", f"""SELECT l_orderkey, l_linenumber, {sql.rounded('l_extendedprice * l_discount', 1)} AS rounded,
   (l_extendedprice - 1000) / nullif(l_discount, 0) AS change, CAST(floor(l_extendedprice) AS BIGINT) AS whole,
-  round(ln(l_extendedprice), 9) AS log, round(sqrt(l_extendedprice), 9) AS root, abs(l_quantity - 25) AS distance,
+  round(ln(l_extendedprice), 6) AS log, sqrt(l_extendedprice) AS root, abs(l_quantity - 25) AS distance,
   CASE WHEN l_discount > 0.05 THEN 'high' ELSE 'low' END AS bucket,
   TRY_CAST(l_returnflag || l_linenumber AS INTEGER) AS not_a_number,
   CASE WHEN l_quantity > 40 THEN NULL ELSE l_quantity END AS capped, CASE WHEN l_quantity >= 10 THEN l_quantity END AS floored
@@ -335,7 +334,7 @@ def number_functions(spark, d):
     return data.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", nulls.rounded(price * discount, 1).alias("rounded"),
         nulls.ratio(price - 1000, discount).alias("change"), F.floor(price).cast("long").alias("whole"),
-        F.round(F.ln(price), 9).alias("log"), F.round(F.sqrt(price), 9).alias("root"),
+        F.round(F.ln(price), 6).alias("log"), F.sqrt(price).alias("root"),
         F.abs(F.col("l_quantity") - 25).alias("distance"),
         F.when(discount > 0.05, "high").otherwise("low").alias("bucket"),
         F.concat("l_returnflag", F.col("l_linenumber").cast("string")).try_cast("int").alias("not_a_number"),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
 
@@ -41,6 +42,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def rebalanced(df: DataFrame, columns) -> DataFrame:
+    """Rows brought together by columns, in partitions of even size.
+
+    Adaptive execution splits a value that holds too many rows over several
+    tasks, and puts small ones together.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in columns]) if columns else df
+
+
 def stage(df: DataFrame, name: str = "stage", partition_by=()) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
@@ -50,5 +60,5 @@ def stage(df: DataFrame, name: str = "stage", partition_by=()) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    rebalanced(df, partition_by).write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

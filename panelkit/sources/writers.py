@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.session import rebalanced
+
 
 def write_table(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:
-    """Parquet, optionally by partition columns.
-
-    Rows are first brought together by the partition columns, with a salt, so a
-    partition value is not written as one small file per task, and a value that
-    holds most of the rows is still written by many tasks.
-    """
-    writer = df
-    if partition_by:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in partition_by]), F.lit(16))
-        writer = df.repartition(*[F.col(c) for c in partition_by], salt)
-    writer.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """Parquet, optionally by partition columns, in files of even size."""
+    rebalanced(df, partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def write_snapshot(df: DataFrame, base: str, name: str, date: str) -> None:

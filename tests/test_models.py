@@ -57,6 +57,17 @@ def test_saved_model_predicts_the_same(fit, tmp_path):
     assert again.where(F.abs(F.col("pred_count") - F.col("before")) > 1e-9).count() == 0
 
 
+def test_split_is_stable_and_thinned(spark):
+    rows = spark.range(20000).withColumn("x", F.when(F.col("id") % 10 != 0, F.col("id")))
+    split = expected.split_train_test(rows, ["x"], expected.in_test(["id"]), thin=expected.in_test(["x"], 0.5))
+    kept, tested = split.agg(F.count(F.lit(1)), F.count_if("is_test")).first()
+    assert split.where("x IS NULL").count() == 0
+    assert 8000 < kept < 10000 and 0 < tested < kept
+    again = expected.split_train_test(rows.repartition(3), ["x"], expected.in_test(["id"]))
+    assert 0.28 < again.where("is_test").count() / again.count() < 0.32
+    assert split.where("is_test").join(again.where("is_test"), "id").count() == tested
+
+
 def test_compiled_columns(fit):
     df = expected.compile_predictions(fit.predictions)
     assert df.columns[:6] == ["date", "state", "county", "alert_type", "count", "pred_count"]

@@ -62,9 +62,17 @@ def test_stage_uses_the_shared_folder(spark):
     assert all(shared_folder(spark) in f.removeprefix("file:").replace("file://", "") for f in staged.inputFiles())
 
 
-def test_hot_partition_values_are_written_by_many_tasks(spark, base):
-    df = spark.range(4000).selectExpr("CASE WHEN id < 3900 THEN 'hot' ELSE 'cold' END AS state", "'JAM' AS alert_type", "id")
-    writers.write_predictions(df, base)
+def test_hot_partition_values_are_split_and_small_ones_are_not(spark, base):
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "20KB")
+    try:
+        df = spark.range(40000).repartition(8).selectExpr(
+            "CASE WHEN id < 39000 THEN 'hot' ELSE 'cold' END AS state", "'JAM' AS alert_type", "id")
+        writers.write_predictions(df, base)
+    finally:
+        spark.conf.set(setting, before)
     back = readers.read_table(spark, base)
-    assert back.count() == 4000
-    assert len(back.where("state = 'hot'").inputFiles()) > 1
+    assert back.count() == 40000
+    states = ["hot" if "state=hot" in f else "cold" for f in back.inputFiles()]
+    assert states.count("hot") > 3 and states.count("cold") == 1
