@@ -44,8 +44,7 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(plain, key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-def check(spark, con, sf_dir: str, run, sql: str) -> str:
-    df = run(spark, sf_dir)
+def check(con, df, sql: str) -> str:
     names, mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(sql)
     expected_names = [c[0] for c in result.description]
@@ -88,7 +87,7 @@ def main(args: list[str]) -> None:
         start = time.time()
         try:
             if name in sql:
-                status = check(spark, con, sf_dir, run, sql[name])
+                status = check(con, run(spark, sf_dir), sql[name])
             else:
                 status = f"ok {len(run(spark, sf_dir).collect())} rows (no SQL)"
         except Exception as error:
