@@ -27,10 +27,17 @@ def build_session(app: str = "panelkit", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's checkpoint folder: the setting, or the context's own.
+
+    Only a local session may fall back on a temporary folder. On a cluster each
+    executor would write to its own disk, so a missing folder is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} can reach")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="panelkit-")
@@ -38,8 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under a folder of this application."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; frames read from it end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rebalanced(df: DataFrame, columns) -> DataFrame:

@@ -76,3 +76,35 @@ def test_hot_partition_values_are_split_and_small_ones_are_not(spark, base):
     assert back.count() == 40000
     states = ["hot" if "state=hot" in f else "cold" for f in back.inputFiles()]
     assert states.count("hot") > 3 and states.count("cold") == 1
+
+
+class _Session:
+    """The parts of a session that the choice of the shared folder reads."""
+
+    def __init__(self, master, setting=None, checkpoints=None):
+        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.sparkContext = self
+        self.master, self.applicationId = master, f"app-{master}"
+        self.getCheckpointDir = lambda: checkpoints
+
+
+def test_shared_folder_is_the_setting_then_the_contexts_own_then_local_only():
+    from panelkit.session import shared_folder
+
+    assert shared_folder(_Session("yarn", "hdfs://x/ck/", "hdfs://y")) == "hdfs://x/ck"
+    assert shared_folder(_Session("yarn", None, "hdfs://y")) == "hdfs://y"
+    assert "panelkit-" in shared_folder(_Session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(_Session("spark://host:1"))
+
+
+def test_clear_staged_removes_what_was_written(spark):
+    import os
+
+    from panelkit.session import clear_staged, shared_path, stage
+
+    assert stage(spark.range(3)).count() == 3
+    path = shared_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.isdir(path)
+    clear_staged(spark)
+    assert not os.path.isdir(path)
