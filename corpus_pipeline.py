@@ -1,22 +1,66 @@
-"""From raw documents to encoded training text, stage by stage."""
+"""From raw documents to encoded training text, stage by stage.
+
+Each stage reads what its predecessor has written and hands on all that it keeps.
+``ORACLE_SQL`` is None: SQL engines have neither the fingerprints' hash (stage 2)
+nor the encoder (stage 5). Tests hold ``run`` against a plain version instead.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelkit.llm import pieces, quality, simhash
+from panelkit.llm import mixing, pieces, pii, quality, simhash
 from panelkit.llm.common import table
 from panelkit.llm.queries import PIECE_MODEL
-from panelkit.session import shared_path
+from panelkit.session import shared_path, stage
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest key; one row of each key.
+
+    Documents without a key can't be told apart by it and stay.
+    """
+    found = stage(simhash.near_duplicates(docs), "near-duplicates")
+    extra = found.where("doc_id <> component_id").select("doc_id").distinct()
+    keyed = docs.where("doc_id is not null").join(extra, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return keyed.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights of their sources, shuffled."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document's text, and digests of them and of the text that they decode to."""
+    return pieces.digests(pieces.encode_decode(docs, PIECE_MODEL), "ids")
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_rules), ("near_dedup", near_dedup), ("pii", redact_pii), ("mixing", mix_sources), ("encode", encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, apply in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        apply(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -182,10 +182,10 @@ def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
     return in_batches(texts(docs, key, text), f"doc_id {kind}, ids array<int>, decoded string", encoded, lambda: loaded(model_path))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Number of ids, and digests of the ids and of the decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """Number of ids, digests of the ids and of the decoded text, and ``more`` columns."""
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more,
     )

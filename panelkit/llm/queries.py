@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import pieces, quality, simhash
+from panelkit.llm import fingerprints, langid, licenses, mixing, pieces, pii, preference, quality, simhash, warc
 from panelkit.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,108 @@ def op5_simhash_neardup(spark, d):
     found = simhash.near_duplicates(table(spark, d, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query("op6_pii")
+def op6_pii(spark, d):
+    return pii.listed(pii.find(table(spark, d, "documents")))
+
+
+#: Rates, counts by inverting the distribution, and copies; the hashes are MD5 in both engines.
+_TERMS = int(mixing.PART + 12 * mixing.PART ** 0.5 + 40)
+MIXING_SQL = f"""WITH RECURSIVE sizes AS (SELECT coalesce(source, '{mixing.NO_SOURCE}') AS src, count(*) AS n,
+  count(*)::DOUBLE ^ {mixing.FLATTENING} AS w FROM documents GROUP BY 1),
+rates AS (SELECT src, w * (SELECT sum(n) FROM sizes) / (SELECT sum(w) FROM sizes) / n AS rate FROM sizes),
+parts AS (SELECT src, rate, greatest(ceil(rate / {mixing.PART}), 1)::INTEGER AS m FROM rates),
+cdf AS (SELECT src, m, rate / m AS r, 0 AS k, exp(-(rate / m)) AS p, exp(-(rate / m)) AS below FROM parts
+  UNION ALL SELECT src, m, r, k + 1, p * r / (k + 1), below + p * r / (k + 1) FROM cdf WHERE k + 1 < {_TERMS}),
+docs AS (SELECT d.*, p.rate, p.m, coalesce(source, '{mixing.NO_SOURCE}') AS src FROM documents d JOIN parts p ON p.src = coalesce(d.source, '{mixing.NO_SOURCE}')),
+draws AS (SELECT doc_id, src, (('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || i), 1, 13))::BIGINT + 0.5::DOUBLE)
+  / 4503599627370496 AS u FROM (SELECT doc_id, src, unnest(range(1, m + 1)) AS i FROM docs)),
+counts AS (SELECT doc_id, count(c.k) AS n FROM draws d LEFT JOIN cdf c ON c.src = d.src AND d.u >= c.below GROUP BY doc_id)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, copy,
+  md5('{mixing.SEED} order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy) AS shuffle_key
+FROM (SELECT docs.*, unnest(range(1, n + 1)) AS copy FROM docs JOIN counts USING (doc_id))"""
+
+
+@query("op7_source_mixing", MIXING_SQL)
+def op7_source_mixing(spark, d):
+    return mixing.mix(table(spark, d, "documents")).withColumn("rate", F.round("rate", 9))
+
+
+def _base32_sql(digest: str) -> str:
+    bits = f"('0x' || substr({digest}, 5 * (i // 4) + 1, 5))::BIGINT"
+    return f"list_aggregate(list_transform(range(32), lambda i: substr('{warc.BASE32}', ((({bits}) >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), 'string_agg', '')"
+
+
+WARC_SQL = f"""WITH own AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY digest, payload_bytes) AS last FROM own)
+SELECT page_id, payload_bytes, {_base32_sql('digest')} AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM last"""
+
+
+@query("op8_warc", WARC_SQL)
+def op8_warc(spark, d):
+    return warc.roundtrip(table(spark, d, "pages"))
+
+
+@query("op10_document_fingerprints")
+def op10_document_fingerprints(spark, d):
+    out = fingerprints.compare_edited(table(spark, d, "documents"))
+    return out.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
+
+
+@query("op2_language_id")
+def op2_language_id(spark, d):
+    found = langid.identify(table(spark, d, "pages"), table(spark, d, "documents"))
+    return found.withColumn("probability", F.round("probability", 6))
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(licenses.TEMPLATES.items()))
+
+
+def _shingles_sql(name: str, source: str, key: str) -> str:
+    n = licenses.SHINGLE
+    return f"""{name}_words AS (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w
+  FROM {source}),
+{name}_at AS (SELECT {key}, w, unnest(range(0, len(w) - {n - 1})) AS i FROM {name}_words WHERE len(w) >= {n}),
+{name} AS (SELECT {key}, i, array_to_string(w[i + 1:i + {n}], ' ') AS s FROM {name}_at)"""
+
+
+LICENSE_SQL = f"""WITH template(license, text) AS (VALUES {_TEMPLATE_ROWS}),
+{_shingles_sql('sought', 'template', 'license')}, {_shingles_sql('own', 'documents', 'doc_id')},
+sizes AS (SELECT license, count(DISTINCT s) AS n_shingles FROM sought GROUP BY license),
+found AS (SELECT doc_id, license, count(DISTINCT own.s) AS n_found, min(own.i) AS first_word FROM own
+  JOIN (SELECT DISTINCT license, s FROM sought) t ON t.s = own.s GROUP BY doc_id, license)
+SELECT doc_id, license, n_found, n_shingles, n_found / n_shingles AS containment, first_word FROM found JOIN sizes USING (license)
+WHERE n_found / n_shingles >= {licenses.CONTAINED}"""
+
+
+@query("op4_license_scan", LICENSE_SQL)
+def op4_license_scan(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
+
+
+_SAID = "'<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)"
+PREFERENCE_SQL = f"""WITH said AS (SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role,
+  coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT pair_id, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1 FROM said GROUP BY pair_id),
+apart AS (SELECT pair_id, min(i) AS i FROM (SELECT a.pair_id, a.i FROM said a JOIN said b ON a.pair_id = b.pair_id AND a.i = b.i
+  WHERE a.side = 0 AND b.side = 1 AND (a.role <> b.role OR a.text <> b.text)) GROUP BY pair_id),
+common AS (SELECT pair_id, n0, n1, coalesce(i - 1, least(n0, n1)) AS n_common FROM sizes LEFT JOIN apart USING (pair_id)),
+prompts AS (SELECT pair_id, string_agg({_SAID}, '' ORDER BY i) AS prompt FROM said JOIN common USING (pair_id)
+  WHERE side = 0 AND i <= n_common GROUP BY pair_id),
+rest AS (SELECT pair_id, side, string_agg({_SAID}, '' ORDER BY i) AS body,
+  string_agg((length(role) + 5) || ':0,' || (length(text) + 8) || ':' || (role = '{preference.TRAINED}')::INTEGER, ',' ORDER BY i) AS mask
+  FROM said JOIN common USING (pair_id) WHERE i > n_common GROUP BY pair_id, side)
+SELECT pair_id, n_common, coalesce(prompt, '') AS prompt,
+  CASE WHEN n0 > 0 THEN coalesce(c.body, '') END AS chosen, CASE WHEN n0 > 0 THEN coalesce(c.mask, '') END AS chosen_mask,
+  CASE WHEN n1 > 0 THEN coalesce(r.body, '') END AS rejected, CASE WHEN n1 > 0 THEN coalesce(r.mask, '') END AS rejected_mask
+FROM common LEFT JOIN prompts USING (pair_id) LEFT JOIN (SELECT * FROM rest WHERE side = 0) c USING (pair_id)
+LEFT JOIN (SELECT * FROM rest WHERE side = 1) r USING (pair_id)"""
+
+
+@query("op9_preference_format", PREFERENCE_SQL)
+def op9_preference_format(spark, d):
+    return preference.flattened(preference.format_pairs(table(spark, d, "conversations")))
