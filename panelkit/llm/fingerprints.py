@@ -79,7 +79,7 @@ def densified(values: Column) -> Column:
 
         def borrowed(b: Column, full: Column) -> Column:
             tries = [F.element_at(v, (F.pmod(F.xxhash64(b, F.lit(t)), F.lit(BINS)) + 1).cast("int")) for t in range(TRIES)]
-            nearest = F.array_min(F.transform(full, lambda f: F.struct(F.xxhash64(b, f), f)))["col2"]
+            nearest = F.array_min(F.transform(full, lambda f: F.struct(F.xxhash64(b, f).alias("rank"), f.alias("bin"))))["bin"]
             return F.coalesce(F.element_at(v, b + 1), *tries, F.element_at(v, nearest + 1))
 
         return let(full, lambda f: F.when(F.size(f) == 0, F.array().cast("array<bigint>")).otherwise(

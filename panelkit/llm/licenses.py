@@ -43,6 +43,7 @@ TEMPLATES = {
 
 
 def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once per row, however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -90,7 +91,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc
     sought = known.select("license", F.inline(F.concat(windows(F.col("hashes"), 1), single))).select(
         "license", F.posexplode(bands(F.col("a"), F.col("b"))).alias("band", "value")
     ).distinct()
-    cut = docs.select(F.col(key).alias("doc_id"), F.inline(windows(shingles(F.col(text)), 2)))
+    cut = docs.select(F.col(key).alias("doc_id"), F.inline(_let(shingles(F.col(text)), lambda h: windows(h, 2))))
     banded = cut.select("doc_id", "at", "a", "b", F.posexplode(bands(F.col("a"), F.col("b"))).alias("band", "value"))
     retrieved = banded.join(F.broadcast(sought), ["band", "value"]).select("doc_id", "license", "at", "a", "b").distinct()
     own = retrieved.select("doc_id", "license", F.inline(F.array(
