@@ -13,7 +13,7 @@ records but part of the payload before them, and are put back there.
 
 Defined results: a NULL or empty payload is an empty block; NULL keys are written
 as an empty id and read back as NULL; rows that repeat the key and the payload of
-a response are responses themselves; line breaks in an address are dropped; a file
+a response are responses themselves; line breaks in an address are dropped, and its ``WARC/`` is percent-encoded; a file
 whose chain breaks gives the records up to the break.
 """
 
@@ -66,9 +66,11 @@ def record_text(typed: DataFrame) -> DataFrame:
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     refers = F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Refers-To: <urn:page:"), text("refers_to"), F.lit(">\r\n"))).otherwise("")
+    # A version line within a header would cut it, so the address may not make one.
+    address = F.replace(F.regexp_replace(text("url"), r"[\r\n]", ""), F.lit("WARC/"), F.lit("WARC%2F"))
     return typed.select(F.concat(
         F.lit(MAGIC), F.lit("WARC-Type: "), "record_type", F.lit("\r\nWARC-Record-ID: <urn:page:"), text("page_id"),
-        F.lit(">\r\nWARC-Target-URI: "), F.regexp_replace(text("url"), r"[\r\n]", ""), F.lit("\r\n"), refers,
+        F.lit(">\r\nWARC-Target-URI: "), address, F.lit("\r\n"), refers,
         F.lit("WARC-Payload-Digest: sha1:"), "payload_digest", F.lit("\r\nX-Payload-Bytes: "), text("payload_bytes"),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(BREAK), body,
     ).alias("value"))
