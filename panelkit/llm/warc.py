@@ -36,12 +36,18 @@ RECORDS = 1000
 
 def base32_sha1(payload: Column) -> Column:
     """SHA-1 digest in upper-case base 32, as WARC headers carry it."""
-    digest = F.sha1(payload)
-    signs = []
-    for i in range(0, 40, 5):  # 5 hex digits are 20 bits, and those 4 signs
-        bits = F.conv(F.substring(digest, i + 1, 5), 16, 10).cast("int")
-        signs += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*signs)
+    alphabet = F.array(*[F.lit(sign) for sign in BASE32])
+
+    def signs(bits: Column) -> Column:
+        return F.concat(*[F.element_at(alphabet, F.shiftright(bits, s).bitwiseAND(31) + 1) for s in (15, 10, 5, 0)])
+
+    def spelled(digest: Column) -> Column:  # 5 hex digits are 20 bits, and those 4 signs
+        starts = F.array(*[F.lit(i) for i in range(1, 41, 5)])
+        bits = F.transform(starts, lambda i: F.conv(F.substring(digest, i, F.lit(5)), 16, 10).cast("int"))
+        return F.array_join(F.transform(bits, signs), "")
+
+    # Bound as a lambda's argument, the digest is taken once, not once for each sign.
+    return F.element_at(F.transform(F.array(F.sha1(payload)), spelled), 1)
 
 
 def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
