@@ -48,22 +48,24 @@ base AS (SELECT doc_id, words, len(words) AS n_words, length(regexp_replace(text
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))"""
 QUALITY_SQL = rf"""WITH {BASE_SQL},
-trusted AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
+trusted AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 32, 1))::INTEGER % 2 = 0 AS fit FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
   ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {quality.MAX_TRUSTED}),
 code AS (SELECT doc_id, i, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM word),
 gram AS (SELECT doc_id, h & {quality.BUCKETS - 1} AS bucket FROM code UNION ALL
   SELECT doc_id, (h * 31 + h2) & {quality.BUCKETS - 1} FROM (SELECT doc_id, h, lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM code)
   WHERE h2 IS NOT NULL),
 counts AS (SELECT b.bucket, count(g.doc_id) + 1.0 AS n_raw, count(t.doc_id) + 1.0 AS n_trusted
-  FROM (SELECT unnest(range({quality.BUCKETS})) AS bucket) b LEFT JOIN gram g USING (bucket) LEFT JOIN trusted t ON t.doc_id = g.doc_id
+  FROM (SELECT unnest(range({quality.BUCKETS})) AS bucket) b LEFT JOIN gram g USING (bucket) LEFT JOIN trusted t ON t.doc_id = g.doc_id AND t.fit
   GROUP BY b.bucket),
 weight AS (SELECT bucket, ln(n_trusted / sum(n_trusted) OVER ()) - ln(n_raw / sum(n_raw) OVER ()) AS w FROM counts),
 scored AS (SELECT doc_id, avg(w) AS score FROM gram JOIN weight USING (bucket) GROUP BY doc_id),
 judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed
-  FROM base LEFT JOIN scored USING (doc_id))
+  FROM base LEFT JOIN scored USING (doc_id)),
+bar AS (SELECT least(0.0::DOUBLE, coalesce(quantile_cont(score, {quality.LOST}), 0)) - {quality.SLACK}::DOUBLE AS threshold
+  FROM scored JOIN trusted USING (doc_id) WHERE NOT fit)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(score >= {quality.THRESHOLD}::DOUBLE, false) AS kept, round(score, 6) AS score FROM judged"""
+  NOT base_failed AND coalesce(score >= threshold, false) AS kept, round(score, 6) AS score FROM judged, bar"""
 
 
 @query("op3_quality_rules", QUALITY_SQL)
