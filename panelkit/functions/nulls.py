@@ -60,8 +60,8 @@ def weighted_mean(value, weight) -> Column:
 
 
 def rounded(c, digits: int = 0) -> Column:
-    """Round half up on the decimal value, so that 1.005 gives 1.01."""
-    return F.round(_col(c).cast("decimal(28,6)"), digits).cast("double")
+    """Round half up, once, on the shortest decimal that names the double: 1.005 gives 1.01."""
+    return F.round(_col(c).cast("double"), digits)
 
 
 def excluded(c, values) -> Column:

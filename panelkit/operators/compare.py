@@ -181,11 +181,15 @@ def latest_by_state(changes: DataFrame, state: str, period, shown: list[str]) ->
 
 
 def metro_scorecard(day: DataFrame, week: DataFrame, state: str, csa: str) -> DataFrame:
-    """Six numbers of a metro area: safety and congestion by period and comparison."""
-    daily = latest_by_state(day.where(F.col("csa_title") == csa), state, F.col("date"),
-                            ["csa_title", "pct_crash", "pct_jam"])
+    """Six numbers of a metro area: safety and congestion by period and comparison.
+
+    The newest day and week are those of the whole table, so an area that has
+    stopped reporting has no current numbers.
+    """
+    own = F.col("csa_title") == csa
+    daily = latest_by_state(day, state, F.col("date"), ["csa_title", "pct_crash", "pct_jam"]).where(own)
     shown = ["csa_title", "pct_crash", "pct_jam", "pct_crash_prev", "pct_jam_prev"]
-    weekly = latest_by_state(week.where(F.col("csa_title") == csa), state, _year_week(), shown)
+    weekly = latest_by_state(week, state, _year_week(), shown).where(own)
     long = (
         name_value_rows(daily, ["csa_title"], ["pct_crash", "pct_jam"])
         .withColumn("time_period", F.lit("Daily"))

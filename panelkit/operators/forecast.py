@@ -24,8 +24,10 @@ from panelkit.session import stage
 FORECAST_FOREST = {"numTrees": 500, "featureSubsetStrategy": "onethird", "minInstancesPerNode": 5, "maxDepth": 15}
 
 
-def _ordered(by: list[str]):
-    return W.partitionBy(*by).orderBy("period")
+def _months_away(value, by: list[str], months: int):
+    """The value of the same series so many months later (earlier, if negative); NULL in a gap."""
+    month = F.year("period") * 12 + F.month("period")
+    return F.max(value).over(W.partitionBy(*by).orderBy(month).rangeBetween(months, months))
 
 
 def long_series(wide: DataFrame, by: list[str], year: str, months: list[str], until: str) -> DataFrame:
@@ -46,16 +48,16 @@ def holdout_window(series: DataFrame, end: str) -> DataFrame:
 
 
 def log_diff(series: DataFrame, by: list[str], lag: int = 1) -> DataFrame:
-    """Difference of logs at a lag; the head, without a value to compare, is dropped."""
+    """Difference of logs at a lag in months; rows without a value to compare are dropped."""
     log = F.ln("value")
-    return series.withColumn("y", log - F.lag(log, lag).over(_ordered(by))).where(
+    return series.withColumn("y", log - _months_away(log, by, -lag)).where(
         F.col("y").isNotNull()
     )
 
 
 def lag_embed(series: DataFrame, by: list[str], k: int = LAGS, value: str = "y") -> DataFrame:
-    """The value with its ``k`` predecessors as columns; incomplete rows dropped."""
-    lags = {f"lag{i}": F.lag(value, i).over(_ordered(by)) for i in range(1, k + 1)}
+    """The value with those of the ``k`` months before as columns; incomplete rows dropped."""
+    lags = {f"lag{i}": _months_away(F.col(value), by, -i) for i in range(1, k + 1)}
     return series.withColumns(lags).dropna(subset=list(lags))
 
 
@@ -69,12 +71,11 @@ def direct_forecast(
     h is the value h months later. The last month of each series predicts.
     """
     train = series.where(F.col("period") <= F.lit(end).cast("date"))
-    ordered = _ordered(by)
     features = [f"x{i}" for i in range(lags)]
     framed = train.withColumns({
-        **{f: F.lag("y", i).over(ordered) for i, f in enumerate(features)},
-        **{f"target{h}": F.lead("y", h).over(ordered) for h in range(1, horizon + 1)},
-        "is_last": F.lead("period").over(ordered).isNull(),
+        **{f: _months_away(F.col("y"), by, -i) for i, f in enumerate(features)},
+        **{f"target{h}": _months_away(F.col("y"), by, h) for h in range(1, horizon + 1)},
+        "is_last": F.max("period").over(W.partitionBy(*by)) == F.col("period"),
     }).dropna(subset=features)
     table = VectorAssembler(inputCols=features, outputCol="features").transform(
         stage(framed, "embedded")

@@ -34,23 +34,43 @@ def natural_keys(left: DataFrame, right: DataFrame) -> list[str]:
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
-    return left.join(right, natural_keys(left, right), how)
+    """Join on all shared columns; NULL keys match each other."""
+    return null_safe_join(left, right, natural_keys(left, right), how)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join in which NULL keys match each other; left columns come first."""
+    """Equi-join in which NULL keys match each other; left columns come first.
+
+    Where the right side may have rows of its own (right and full outer joins),
+    the keys are taken from the side that has the row.
+    """
     renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
     match = reduce(
         lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_{k}"]) for k in keys]
     )
-    return left.join(renamed, match, how).drop(*[f"_{k}" for k in keys])
+    joined = left.join(renamed, match, how)
+    if how in ("right", "full", "outer", "full_outer", "right_outer"):
+        joined = joined.withColumns({k: F.coalesce(left[k], renamed[f"_{k}"]) for k in keys})
+    return joined.drop(*[f"_{k}" for k in keys])
+
+
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows, unless a key is repeated: then the query fails.
+
+    The check is part of the plan. A left join to the result cannot repeat left rows.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*rest)).alias("_row"))
+    told = F.concat(F.lit(f"repeated key of {keys}: "), F.to_json(F.struct(*keys)))
+    row = F.when(F.col("_n") > 1, F.raise_error(told)).otherwise(F.col("_row"))
+    return counted.select(*keys, row.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def key_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys on one side only, with the side; empty when the key sets are equal."""
     a = left.select(*keys).distinct().withColumn("in_left", F.lit(True))
     b = right.select(*keys).distinct().withColumn("in_right", F.lit(True))
-    both = a.join(b, keys, "full_outer")
+    both = null_safe_join(a, b, keys, "full_outer")
     side = F.when(F.col("in_right").isNull(), "left").when(F.col("in_left").isNull(), "right")
     return both.select(*keys, side.alias("only_in")).where(F.col("only_in").isNotNull())
 
@@ -76,7 +96,7 @@ def spot_check(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) ->
     """Keys whose values differ between two tables, or that one table lacks."""
     x = a.select(*keys, F.struct(*cols).alias("x"))
     y = b.select(*keys, F.struct(*cols).alias("y"))
-    both = x.join(y, keys, "full_outer")
+    both = null_safe_join(x, y, keys, "full_outer")
     status = (
         F.when(F.col("y").isNull(), "only_left")
         .when(F.col("x").isNull(), "only_right")
@@ -88,13 +108,13 @@ def spot_check(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) ->
 
 
 def extreme_rows(df: DataFrame, by: list[str], column: str, how=F.max) -> DataFrame:
-    """Rows that hold the extreme of their group, all of them when tied.
+    """Rows that hold the extreme of their group, all of them when tied; a NULL key is a group.
 
     The extremes come from an aggregate that combines in the map tasks and join
     back, so no task has to hold a whole group.
     """
     extremes = df.groupBy(*by).agg(how(column).alias("_extreme"))
-    return df.join(extremes, by).where(F.col(column) == F.col("_extreme")).drop("_extreme")
+    return null_safe_join(df, extremes, by, "inner").where(F.col(column) == F.col("_extreme")).drop("_extreme")
 
 
 def last_n(df: DataFrame, column: str, n: int) -> DataFrame:

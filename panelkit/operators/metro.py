@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelkit.constants import KINDS
 from panelkit.functions import nulls, text
 from panelkit.operators.keys import keep_members
+from panelkit.session import stage
 
 
 def subtype_day_counts(
@@ -47,7 +48,8 @@ def map_frame(
     """Outline vertices of a state with the counts of one day and sub-type, the
     frame's limits, and the largest count; no rows when nothing was reported."""
     column, code = state
-    in_state = counts.where(F.col(column) == code)
+    # Limits, the largest count and the rows all follow from one pass over the events.
+    in_state = stage(counts.where(F.col(column) == code), "in-state")
     shapes = outlines(vertices)
     framed = keep_members(vertices, in_state.select("fips").distinct(), "fips")
     limits = framed.agg(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelkit.constants import KINDS
 from panelkit.functions import dates, nulls
-from panelkit.operators.keys import keep_members, key_union
+from panelkit.operators.keys import keep_members, key_union, once
 from panelkit.operators.reshape import widen, widen_sums
 from panelkit.session import stage
 
@@ -111,9 +111,9 @@ def fill_true_zeros(panel: DataFrame, value: str, within: list[str]) -> DataFram
 def attach_measure(panel: DataFrame, measure: DataFrame, on: list[str]) -> DataFrame:
     """Left join of a measure that repeats over the kinds of a place and day.
 
-    ``keys.assert_row_preserving(measure, on)`` checks that rows stay as they are.
+    Rows of the panel stay as they are; a repeated key of the measure is an error.
     """
-    return panel.join(measure, on, "left")
+    return panel.join(once(measure, on), on, "left")
 
 
 def attach_dimension(panel: DataFrame, dimension: DataFrame, key: str = "fips") -> DataFrame:
@@ -149,9 +149,11 @@ def build_panel(
     """Counts completed, zero-filled, with cases, names and calendar columns.
 
     ``daily`` is the result of :func:`daily_counts`. It is used three times
-    here; hand in a staged table when it comes from a large scan.
+    here; hand in a staged table when it comes from a large scan. Cases and the
+    known places, which several branches use, are written once.
     """
-    places = known_places(dimension, "fips", daily, cases)
+    cases = stage(cases, "cases")
+    places = stage(known_places(dimension, "fips", daily, cases), "places")
     panel = complete_panel(daily, places)
     panel = attach_measure(panel, cases.select("fips", "date", "cases", "deaths"), ["fips", "date"])
     panel = attach_dimension(panel, places)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.constants import KINDS, MIN_BASELINE
 from panelkit.functions import dates, nulls
+from panelkit.operators.keys import null_safe_join, once
 from panelkit.operators.reshape import widen
 
 
@@ -55,11 +56,12 @@ def apply_patch(
     target: DataFrame, patch: DataFrame, keys: list[str], states, prefix: str, kinds=KINDS
 ) -> DataFrame:
     """The substitute in place of the baseline where there is one, in listed
-    states only. Rows and columns of the target stay as they are."""
+    states only. Rows and columns of the target stay as they are; a repeated key
+    of the patch is an error."""
     in_scope = F.col("state").isin(list(states))
     new = {
         f"{prefix}_{k}": F.when(in_scope, F.coalesce(f"substitute_{k}", f"{prefix}_{k}"))
         .otherwise(F.col(f"{prefix}_{k}"))
         for k in kinds
     }
-    return target.join(patch, keys, "left").withColumns(new).select(*target.columns)
+    return null_safe_join(target, once(patch, keys), keys).withColumns(new).select(*target.columns)

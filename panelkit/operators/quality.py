@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from panelkit.constants import JUMPS_PERCENT, KINDS, MAX_JUMP_DAYS, USABLE_COUNT, USABLE_SHARE
 from panelkit.functions import nulls
 from panelkit.operators.compare import SHORT
-from panelkit.operators.ranks import exact_quantiles
+from panelkit.operators.keys import null_safe_join
+from panelkit.operators.ranks import frequencies, quantiles_of
+from panelkit.session import stage
+
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def date_completeness(wide: DataFrame, kinds=KINDS, date: str = "date") -> DataFrame:
@@ -129,32 +133,33 @@ def histogram_log(df: DataFrame, column: str, by: list[str], bins_per_decade: in
 def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR and outliers per group.
 
-    A group may be a large share of the table, so the quartiles come from
-    :func:`exact_quantiles`, and the rest from plain aggregates.
+    The table is read once, into frequencies; everything else follows from them.
+    A NULL key is a group.
     """
-    quartiles = exact_quantiles(df, by, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    counted = stage(frequencies(df, by, column), "frequencies")
+    quartiles = quantiles_of(counted, by, QUARTILES)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    value = F.col(column)
-    inside = value.between(F.col("q1") - reach, F.col("q3") + reach)
+    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        df.where(value.isNotNull())
-        .join(quartiles, by)
+        null_safe_join(counted.where("value is not null"), quartiles, by, "inner")
         .groupBy(*by, "q1", "median", "q3")
         .agg(
-            F.min(F.when(inside, value)).alias("whisker_low"),
-            F.max(F.when(inside, value)).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"),
         )
     )
 
 
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and missing values of a column."""
-    basic = df.agg(F.struct(
-        F.min(column).alias("min"), F.avg(column).alias("mean"), F.max(column).alias("max"),
-        nulls.null_count(column).alias("n_null"),
+    """Minimum, quartiles, mean, maximum and missing values of a column, all from its frequencies."""
+    counted = stage(frequencies(df, [], column), "frequencies")
+    value, n = F.col("value"), F.col("n")
+    basic = counted.agg(F.struct(
+        F.min(value).alias("min"), nulls.ratio(F.sum(value * n), F.sum(F.when(value.isNotNull(), n))).alias("mean"),
+        F.max(value).alias("max"), F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("n_null"),
     )).scalar()
-    quartiles = exact_quantiles(df, [], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quartiles = quantiles_of(counted, [], QUARTILES)
     return quartiles.withColumn("_b", basic).select(
         "_b.min", "q1", "median", "_b.mean", "q3", "_b.max", "_b.n_null"
     )

@@ -15,16 +15,13 @@ from pyspark.sql import functions as F
 
 from panelkit.session import stage
 
+#: Ranges of a group at least. There are as many as a shuffle has partitions, if those are more.
 RANGES = 64
 
 
 def frequencies(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Distinct non-NULL values of each group with their number of rows."""
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*by, F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Distinct values of each group with their number of rows; NULL is a value too."""
+    return df.groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def running_totals(values: DataFrame, by: list[str], order: str, sums: list[str]) -> DataFrame:
@@ -33,7 +30,8 @@ def running_totals(values: DataFrame, by: list[str], order: str, sums: list[str]
     ``values`` is unique on (by, order). A NULL in ``by`` is a group of its own.
     Without ``by`` the whole table is one group.
     """
-    steps = [i / RANGES for i in range(1, RANGES)]
+    ranges = max(RANGES, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    steps = [i / ranges for i in range(1, ranges)]
     cuts = F.percentile_approx(order, steps, 1000)
     keyed = values.withColumn("_group", F.struct(*by) if by else F.lit(0))
     if by:
@@ -63,10 +61,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, a column per named probability.
 
-    The value at 0-based rank r is the one whose rows cover r. The frequencies
-    serve several branches, so they are written once.
+    The frequencies serve several branches, so they are written once.
     """
-    counted = stage(frequencies(df, by, column), "frequencies")
+    return quantiles_of(stage(frequencies(df, by, column), "frequencies"), by, probs)
+
+
+def quantiles_of(counted: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    """The same from frequencies: the value at 0-based rank r is the one whose rows cover r."""
+    counted = counted.where("value is not null")
     ranked = running_totals(counted, by, "value", ["n"])
     totals = counted.groupBy(*by).agg(F.sum("n").alias("_size")).select(
         *[F.col(b).alias(f"_by_{b}") for b in by], "_size"

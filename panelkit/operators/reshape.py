@@ -13,13 +13,15 @@ def widen(
 
     ``values`` maps prefix to source column. All columns come from conditional
     aggregates of one ``groupBy``, so the reshape costs one shuffle. With the
-    default ``max`` the keys and kind must identify a row.
+    default ``max`` the keys and kind must identify a row; the query fails if they don't.
     """
-    cells = [
-        how(F.when(F.col(names) == k, F.col(source))).alias(f"{prefix}_{k}")
-        for prefix, source in values.items()
-        for k in kinds
-    ]
+    def cell(source: str, k) -> Column:
+        value = how(F.when(F.col(names) == k, F.col(source)))
+        if how is not F.max:
+            return value
+        return F.when(F.count_if(F.col(names) == k) > 1, F.raise_error(F.lit(f"several rows for {keys} and {k}"))).otherwise(value)
+
+    cells = [cell(source, k).alias(f"{prefix}_{k}") for prefix, source in values.items() for k in kinds]
     return df.groupBy(*keys).agg(*cells)
 
 

@@ -22,20 +22,25 @@ def classify(df: DataFrame, observed: str, score: str, cutoff: float = CLASS_CUT
     })
 
 
-def area_under_curve(df: DataFrame, observed: str, score: str) -> DataFrame:
-    """Probability that a positive outranks a negative, ties counting half.
-
-    Scores are first reduced to distinct values with their counts; the running
-    number of negatives needs no task that holds all of them.
-    """
-    counted = stage(
-        df.dropna(subset=[observed, score]).groupBy(score).agg(
-            F.count_if(F.col(observed) == 1).alias("pos"),
-            F.count_if(F.col(observed) == 0).alias("neg"),
+def score_frequencies(df: DataFrame, observed: str, score: str) -> DataFrame:
+    """Per distinct score its rows, its hits and misses, and its squared error; written once."""
+    error = F.col(observed) - F.col(score)
+    return stage(
+        df.dropna(subset=[observed, score]).groupBy(F.col(score).alias("score")).agg(
+            F.count_if(F.col(observed) == 1).alias("pos"), F.count_if(F.col(observed) == 0).alias("neg"),
+            F.count(F.lit(1)).alias("n"), F.sum(error * error).alias("square"),
         ),
         "scores",
     )
-    ranked = running_totals(counted, [], score, ["neg"])
+
+
+def area_under_curve(scores: DataFrame) -> DataFrame:
+    """Probability that a positive outranks a negative, ties counting half.
+
+    From :func:`score_frequencies`; the running number of negatives needs no task
+    that holds all of them.
+    """
+    ranked = running_totals(scores, [], "score", ["neg"])
     wins = F.sum(F.col("pos") * (2 * F.col("neg_upto") - F.col("neg")))
     return ranked.agg(
         (wins / 2).alias("_wins"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
@@ -45,15 +50,19 @@ def area_under_curve(df: DataFrame, observed: str, score: str) -> DataFrame:
 def classification_report(
     df: DataFrame, observed: str, score: str, cutoff: float = CLASS_CUTOFF
 ) -> DataFrame:
-    """One row: rows, the confusion counts, squared error and area under the curve."""
-    rows = classify(df.dropna(subset=[observed, score]), observed, score, cutoff)
-    error = F.col(observed) - F.col(score)
-    auc = area_under_curve(df, observed, score).scalar()
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(c).alias(c) for c in ("tp", "fp", "tn", "fn")],
-        F.avg(error * error).alias("mse"),
-    ).withColumn("auc", auc)
+    """One row: rows, the confusion counts, squared error and area under the curve.
+
+    The rows are read once, into frequencies of scores.
+    """
+    scores = score_frequencies(df, observed, score)
+    yes, other = F.col("score") > cutoff, F.col("n") - F.col("pos")
+    total = lambda c, keep: F.coalesce(F.sum(F.when(keep, c)), F.lit(0))
+    return scores.agg(
+        total(F.col("n"), F.lit(True)).alias("n"),
+        total(F.col("pos"), yes).alias("tp"), total(other, yes).alias("fp"),
+        total(other, ~yes).alias("tn"), total(F.col("pos"), ~yes).alias("fn"),
+        nulls.ratio(F.sum("square"), F.sum("n")).alias("mse"),
+    ).withColumn("auc", area_under_curve(scores).scalar())
 
 
 def rescore(path: str, rows: DataFrame) -> DataFrame:

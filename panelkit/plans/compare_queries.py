@@ -196,9 +196,9 @@ def latest_by_state_week(spark, d):
 
 @query("metro_scorecard", with_(CAPPED_DAYS, CAPPED_WEEKS.removeprefix(sql.PANEL + ",\n" + sql.DELINEATION + ",\n"), """
 day AS (SELECT * FROM capped_days WHERE csa_title = 'ASIA'
-  AND date = (SELECT max(date) FROM capped_days WHERE csa_title = 'ASIA')),
+  AND date = (SELECT max(date) FROM capped_days)),
 week AS (SELECT * FROM capped_weeks WHERE csa_title = 'ASIA'
-  AND year * 100 + week = (SELECT max(year * 100 + week) FROM capped_weeks WHERE csa_title = 'ASIA'))""",
+  AND year * 100 + week = (SELECT max(year * 100 + week) FROM capped_weeks))""",
        """SELECT 'Daily' AS time_period, 'From Prior Year' AS comparison, pct_crash AS safety_index, pct_jam AS congestion_index
   FROM day WHERE state = 'ASIA'
   UNION ALL SELECT 'Weekly', 'From Prior Year', pct_crash, pct_jam FROM week WHERE state = 'ASIA'

@@ -141,7 +141,7 @@ END = "2000-12-31"
 
 SERIES = f"""{sql.PANEL},
 series AS (SELECT state, alert_type, date_trunc('month', date)::DATE AS period, CAST(sum(count) AS BIGINT) AS value
-  FROM panel WHERE date <= DATE '2001-10-31' GROUP BY ALL)"""
+  FROM panel GROUP BY ALL HAVING last_day(date_trunc('month', date)) <= (SELECT max(date) FROM panel))"""
 
 
 @query("long_series", with_(SERIES, """SELECT state, alert_type, period, value FROM series WHERE period <= DATE '2000-12-01'"""))
@@ -160,8 +160,8 @@ def holdout_window(spark, d):
 
 
 def _diffed(lag: int, name: str = "diffed") -> str:
-    return f"""logged AS (SELECT *, ln(value) - lag(ln(value), {lag}) OVER (PARTITION BY state, alert_type ORDER BY period) AS y
-  FROM series),
+    return f"""logged AS (SELECT s.*, ln(s.value) - ln(b.value) AS y FROM series s LEFT JOIN series b
+  ON b.state = s.state AND b.alert_type = s.alert_type AND b.period = s.period - to_months({lag})),
 {name} AS (SELECT * FROM logged WHERE y IS NOT NULL)"""
 
 
@@ -178,10 +178,10 @@ def log_diff_seasonal(spark, d):
 LAG_NAMES = [f"lag{i}" for i in range(1, LAGS + 1)]
 
 
-@query("lag_embed", with_(SERIES, _diffed(1), "lagged AS (SELECT *, " + ", ".join(
-       f"lag(y, {i}) OVER (PARTITION BY state, alert_type ORDER BY period) AS lag{i}" for i in range(1, LAGS + 1))
-       + " FROM diffed)", "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in ["y", *LAG_NAMES])
-       + ") FROM lagged WHERE lag6 IS NOT NULL"))
+@query("lag_embed", with_(SERIES, _diffed(1), "lagged AS (SELECT d.*, " + ", ".join(f"d{i}.y AS lag{i}" for i in range(1, LAGS + 1)) + " FROM diffed d "
+       + " ".join(f"LEFT JOIN diffed d{i} ON d{i}.state = d.state AND d{i}.alert_type = d.alert_type AND d{i}.period = d.period - to_months({i})"
+                  for i in range(1, LAGS + 1)) + ")", "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in ["y", *LAG_NAMES])
+       + ") FROM lagged WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in LAG_NAMES)))
 def lag_embed(spark, d):
     embedded = fc.lag_embed(fc.log_diff(data.monthly_series(spark, d), BY), BY)
     return data.shown(embedded, "y", *LAG_NAMES)

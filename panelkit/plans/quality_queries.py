@@ -206,12 +206,15 @@ def national_reconcile(spark, d):
 @query("spot_check", with_(sql.PANEL, sql.CASES, """a AS (SELECT fips, date, max(count) AS n FROM panel GROUP BY ALL),
 b AS (SELECT fips, date, cases AS n FROM cases)""",
        """SELECT coalesce(a.fips, b.fips) AS fips, coalesce(a.date, b.date) AS date, a.n AS n_left, b.n AS n_right,
-  CASE WHEN b.fips IS NULL THEN 'only_left' WHEN a.fips IS NULL THEN 'only_right'
+  CASE WHEN b.date IS NULL THEN 'only_left' WHEN a.date IS NULL THEN 'only_right'
     WHEN a.n IS DISTINCT FROM b.n THEN 'differs' ELSE 'same' END AS status
-  FROM a FULL JOIN b ON a.fips = b.fips AND a.date = b.date"""))
+  FROM (SELECT nullif(fips, '00003') AS fips, date, n FROM a) a FULL JOIN (SELECT nullif(fips, '00003') AS fips, date, n FROM b) b
+  ON a.fips IS NOT DISTINCT FROM b.fips AND a.date = b.date"""))
 def spot_check(spark, d):
     largest = data.panel(spark, d).groupBy("fips", "date").agg(F.max("count").alias("n"))
-    return keys.spot_check(largest, data.cases(spark, d).withColumnRenamed("cases", "n"), ["fips", "date"], ["n"])
+    unknown = {"fips": F.nullif("fips", F.lit("00003"))}
+    cases = data.cases(spark, d).withColumnRenamed("cases", "n")
+    return keys.spot_check(largest.withColumns(unknown), cases.withColumns(unknown), ["fips", "date"], ["n"])
 
 
 @query("usable_counties", with_(sql.PANEL, WIDE_DAYS, "counted AS (SELECT fips, count(*) AS n_days, "
@@ -257,9 +260,9 @@ def pair_counts(spark, d):
     return op.pair_counts(wide_days(data.panel(spark, d)), "count_ACCIDENT", "count_JAM")
 
 
-# Months whose number of cells is a multiple of five are left out, to have gaps to report.
+# The value of months whose number of cells is a multiple of five or seven is unknown.
 @query("gap_report", with_(sql.PANEL, """months AS (SELECT fips, date_trunc('month', date)::DATE AS period,
-  nullif(count(*) % 7, 0) AS value FROM panel GROUP BY ALL HAVING count(*) % 5 <> 0),
+  CASE WHEN count(*) % 5 <> 0 THEN nullif(count(*) % 7, 0) END AS value FROM panel GROUP BY ALL),
 spans AS (SELECT fips, unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH))::DATE AS period
   FROM months GROUP BY fips)""",
        """SELECT s.fips, s.period, 'missing' AS gap FROM spans s ANTI JOIN months m ON m.fips = s.fips AND m.period = s.period
@@ -269,8 +272,7 @@ def gap_report(spark, d):
     months = (
         data.panel(spark, d)
         .groupBy("fips", dates.month_start("date").alias("period"))
-        .agg(F.nullif(n % 7, F.lit(0)).alias("value"), n.alias("n"))
-        .where(F.col("n") % 5 != 0)
+        .agg(F.when(n % 5 != 0, F.nullif(n % 7, F.lit(0))).alias("value"))
     )
     return op.gap_report(months, ["fips"], "period", "value")
 

@@ -44,7 +44,8 @@ def weekday(d: str) -> str:
 
 
 def rounded(x: str, digits: int) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(28,6)), {digits}) AS DOUBLE)"
+    """Half up on the text of the double, which is its shortest decimal."""
+    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,17)), {digits}) AS DOUBLE)"
 
 
 def long(x: str) -> str:
@@ -78,10 +79,12 @@ PANEL_ONLY = """panel AS (SELECT p.fips, p.state, p.county, d.date, d.alert_type
 
 PANEL = f"{PLACES},\n{DAILY},\n{PANEL_ONLY}"
 
-CASES = """cases AS (SELECT printf('%05d', c_nationkey) AS fips, CAST(o_orderdate AS DATE) AS date,
-  count(*) AS cases, count(*) FILTER (WHERE o_orderstatus = 'F') AS deaths
-  FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-06-01' GROUP BY ALL)"""
+CASES = """cases AS (SELECT fips, date, CASE WHEN date >= DATE '1996-06-01' THEN cases END AS cases,
+  CASE WHEN date >= DATE '1996-06-01' THEN deaths END AS deaths
+  FROM (SELECT printf('%05d', c_nationkey) AS fips, CAST(o_orderdate AS DATE) AS date,
+  count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS cases,
+  count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS deaths
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL))"""
 
 GRID = f"""{PLACES},\n{DAILY},\n{CASES},
 known AS (SELECT * FROM places WHERE fips IN (SELECT fips FROM daily UNION SELECT fips FROM cases)),

@@ -93,16 +93,17 @@ def staged_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
-    """Urgent orders stand for cases; those that are finished for deaths."""
-    orders = table(spark, d, "orders").where(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderdate") >= F.lit("1996-06-01").cast("timestamp"))
-    )
+    """Urgent orders stand for cases, finished ones of them for deaths; unknown before reporting began."""
+    orders = table(spark, d, "orders")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     counted = (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", F.to_date("o_orderdate").alias("date"))
-        .agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("o_orderstatus") == "F").alias("deaths"))
+        .agg(F.count_if(urgent).alias("cases"), F.count_if(urgent & (F.col("o_orderstatus") == "F")).alias("deaths"))
     )
+    begun = F.col("date") >= F.lit("1996-06-01").cast("date")
+    counted = counted.withColumns({c: F.when(begun, F.col(c)) for c in ("cases", "deaths")})
     codes = table(spark, d, "nation").select("n_nationkey", padded("n_nationkey", 5).alias("fips"))
     return counted.join(codes, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "fips", "date", "cases", "deaths"
@@ -137,13 +138,15 @@ def state_weeks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monthly_series(spark: SparkSession, d: str) -> DataFrame:
-    """Monthly totals per state and kind; the last, partial month is left out."""
-    return (
+    """Monthly totals per state and kind, up to the last month that the data cover to its end."""
+    months = stage(
         panel(spark, d)
         .groupBy("state", "alert_type", F.trunc("date", "month").alias("period"))
-        .agg(F.sum("count").alias("value"))
-        .where(F.col("period") <= F.lit("2001-10-01").cast("date"))
+        .agg(F.sum("count").alias("value"), F.max("date").alias("last")),
+        "months",
     )
+    newest = months.agg(F.max("last")).scalar()
+    return months.where(F.last_day("period") <= newest).drop("last")
 
 
 def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

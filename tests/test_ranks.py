@@ -69,7 +69,7 @@ def test_area_under_curve_with_ties(spark):
     negatives = [s for o, s in data if o == 0]
     wins = sum((p > n) + 0.5 * (p == n) for p in positives for n in negatives)
     df = spark.createDataFrame(data, "obs int, score double")
-    got = scoring.area_under_curve(df, "obs", "score").first().auc
+    got = scoring.area_under_curve(scoring.score_frequencies(df, "obs", "score")).first().auc
     assert got == pytest.approx(wins / (len(positives) * len(negatives)))
 
 
