@@ -126,7 +126,7 @@ def followers(rows: DataFrame) -> DataFrame:
     all by the first. Only keys and lengths are sorted, and the table that ties
     partitions together has a row for each of them.
     """
-    ordered = rows.orderBy(F.desc_nulls_last("doc_id"), "n_chars", "row").withColumn("place", F.monotonically_increasing_id())
+    ordered = rows.orderBy(F.desc_nulls_last("doc_id"), "n_chars", "row", "twin").withColumn("place", F.monotonically_increasing_id())
     ordered = stage(ordered, "ordered")
     edges = ordered.groupBy(F.shiftright("place", 33)).agg(F.struct(F.min("place").alias("first"), F.max("place").alias("last")).alias("e"))
     edges = edges.agg(F.array_sort(F.collect_list("e")).alias("edges"))  # an entry for each partition of the sort
@@ -144,24 +144,27 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     in the order, so they share the row that follows.
 
     Of the texts, each moves once, to meet its place in the order, and then the part
-    that its predecessor needs moves once more. Keys of both moves are unique but for
-    repeated rows, which adaptive execution splits.
+    that its predecessor needs moves once more. Rows are known by 128 bits of hashes
+    of key and text, unique but for repeated rows, which adaptive execution splits.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.col(key).alias("doc_id"), body.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    sized = own.select("doc_id", "row", F.char_length("text").cast("long").alias("n_chars")).distinct()
+    own = docs.select(F.col(key).alias("doc_id"), body.alias("text")).withColumns(
+        {"row": F.xxhash64("doc_id", "text"), "twin": F.xxhash64(F.lit(1), "text", F.lit(2), "doc_id")})
+    sized = own.select("doc_id", "row", "twin", F.char_length("text").cast("long").alias("n_chars")).distinct()
     places = followers(sized)
-    before = places.select(F.col("next").alias("place"), F.col("place").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
-    spots = stage(places.join(before, "place").select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "place", "before", "take", "n_chars"), "spots")
-    coded = own.withColumn("code", codes(F.col("text")))
-    placed = coded.join(spots, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    before = places.select(
+        F.col("next").alias("place"), F.col("row").alias("before_row"), F.col("twin").alias("before_twin"),
+        F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
+    spots = stage(places.join(before, "place").select("row", "twin", "before_row", "before_twin", "take", "n_chars"), "spots")
+    # Both joins are on the same two hashes, so the texts stay where the first one has put them.
+    placed = own.withColumn("code", codes(F.col("text"))).join(spots, ["row", "twin"])
     lent = placed.select(
-        F.col("before").alias("place"), F.struct(F.substring("text", F.lit(1), F.col("take")).alias("tail"), F.col("code").alias("next_code")).alias("lent")
-    ).groupBy("place").agg(F.any_value("lent").alias("lent"))
+        F.col("before_row").alias("row"), F.col("before_twin").alias("twin"),
+        F.struct(F.substring("text", F.lit(1), F.col("take")).alias("tail"), F.col("code").alias("next_code")).alias("lent"),
+    ).groupBy("row", "twin").agg(F.any_value("lent").alias("lent"))
     half = F.floor(F.col("n_chars") / 2)
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("lent.tail"))
-    return placed.join(lent, "place").select("doc_id", "n_chars", "code", F.col("lent.next_code").alias("next_code"), edited.alias("edited")).withColumn(
+    return placed.join(lent, ["row", "twin"]).select("doc_id", "n_chars", "code", F.col("lent.next_code").alias("next_code"), edited.alias("edited")).withColumn(
         "edited_code", codes(F.col("edited"))
     ).select(
         "doc_id", "n_chars", "edited", packed(F.col("code")).alias("fingerprint"), packed(F.col("edited_code")).alias("edited_fingerprint"),
