@@ -141,7 +141,7 @@ END = "2000-12-31"
 
 SERIES = f"""{sql.PANEL},
 series AS (SELECT state, alert_type, date_trunc('month', date)::DATE AS period, CAST(sum(count) AS BIGINT) AS value
-  FROM panel GROUP BY ALL HAVING last_day(date_trunc('month', date)) <= (SELECT max(date) FROM panel))"""
+  FROM panel WHERE last_day(date) <= (SELECT max(date) FROM panel) GROUP BY ALL)"""
 
 
 @query("long_series", with_(SERIES, """SELECT state, alert_type, period, value FROM series WHERE period <= DATE '2000-12-01'"""))
