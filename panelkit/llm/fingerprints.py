@@ -155,9 +155,10 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     before = places.select(
         F.col("next").alias("place"), F.col("row").alias("before_row"), F.col("twin").alias("before_twin"),
         F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
-    spots = stage(places.join(before, "place").select("row", "twin", "before_row", "before_twin", "take", "n_chars"), "spots")
-    # Both joins are on the same two hashes, so the texts stay where the first one has put them.
-    placed = own.withColumn("code", codes(F.col("text"))).join(spots, ["row", "twin"])
+    spots = stage(places.join(before, "place").select("doc_id", "row", "twin", "before_row", "before_twin", "take", "n_chars"), "spots")
+    # Both joins are on the same two hashes, so the texts stay where the first one has put them. Keys come
+    # from the table of places: then both branches need the same columns of the texts, and share their shuffle.
+    placed = own.drop("doc_id").withColumn("code", codes(F.col("text"))).join(spots, ["row", "twin"])
     lent = placed.select(
         F.col("before_row").alias("row"), F.col("before_twin").alias("twin"),
         F.struct(F.substring("text", F.lit(1), F.col("take")).alias("tail"), F.col("code").alias("next_code")).alias("lent"),
