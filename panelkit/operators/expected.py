@@ -9,6 +9,7 @@ cluster idle.
 from __future__ import annotations
 
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -19,10 +20,11 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkit.constants import FOREST, TEST_SHARE
 from panelkit.functions import dates, nulls
-from panelkit.session import stage
+from panelkit.session import shared_path, stage
 
 GROUP = ("state", "alert_type")
 CATEGORIES = ["month", "dow", "day_week", "fips"]
@@ -77,30 +79,23 @@ def _group_rows(df: DataFrame, group, values: tuple) -> DataFrame:
 
 @dataclass
 class ExpectedFit:
-    """Models by group, and the rows they were made from and apply to."""
+    """Models by group, the rows they were made from, and what they predict."""
 
     models: dict[tuple, PipelineModel]
     seconds: dict[tuple, float]
     group: tuple[str, ...]
-    target: DataFrame
+    scored: DataFrame
     complete: DataFrame
 
-    def _scored(self, df: DataFrame) -> DataFrame:
-        parts = [
-            model.transform(_group_rows(df, self.group, values)).select(*df.columns, "pred_count")
-            for values, model in self.models.items()
-        ]
-        return reduce(DataFrame.unionByName, parts)
-
     @property
     def predictions(self) -> DataFrame:
         """Rows of the target year, whether or not their count is known."""
-        return self._scored(self.target)
+        return self.scored.where("is_target")
 
     @property
     def holdout(self) -> DataFrame:
         """Rows of earlier years that were kept out of the fits."""
-        return self._scored(self.complete.where("is_test"))
+        return self.scored.where("not is_target")
 
     @property
     def training_sizes(self) -> DataFrame:
@@ -111,12 +106,19 @@ class ExpectedFit:
 
 def fit_expected(
     panel: DataFrame, target_year: int, *, group=GROUP, response: str = "count",
-    forest: dict = FOREST, test_share: float = TEST_SHARE, parallel_fits: int = 16, seed: int = 2019,
+    forest: dict = FOREST, test_share: float = TEST_SHARE, test: Column | None = None, thin: Column | None = None,
+    parallel_fits: int = 16, seed: int = 2019,
 ) -> ExpectedFit:
-    """Fit the years before the target per group, to predict the target year."""
-    featured = model_features(panel).withColumns({
+    """Fit the years before the target per group, to predict the target year.
+
+    ``test`` names the rows that are held out, by default a share by a hash of the
+    key; ``thin`` keeps a part of the earlier years only. Each fit writes what its
+    model predicts to its own part of one table, which is read back once.
+    """
+    kept = panel if thin is None else panel.where(thin | (F.year("date") == target_year))
+    featured = model_features(kept).withColumns({
         "is_target": F.year("date") == target_year,
-        "is_test": in_test(["fips", "date", "alert_type"], test_share),
+        "is_test": in_test(["fips", "date", "alert_type"], test_share) if test is None else test,
     }).where(F.col("date") <= F.lit(f"{target_year}-12-31").cast("date"))
     table = stage(featured, "features", partition_by=group)
     complete = table.where(~F.col("is_target")).dropna(subset=[*PREDICTORS, response])
@@ -125,16 +127,23 @@ def fit_expected(
     found = train.groupBy(*group).agg(*[F.array_sort(F.collect_set(c)) for c in CATEGORIES]).collect()
     labels = {tuple(r[:len(group)]): list(r[len(group):]) for r in found}
     seconds: dict[tuple, float] = {}
+    applied = table.where("is_target").unionByName(complete.where("is_test"))
+    path = shared_path(panel.sparkSession, "predictions")
 
     def fit(values: tuple) -> PipelineModel:
         start = time.monotonic()
         model = fit_group(_group_rows(train, group, values), labels[values], response, forest, seed)
         seconds[values] = time.monotonic() - start
+        scored = model.transform(_group_rows(applied, group, values)).select(*table.columns, "pred_count")
+        scored.write.parquet(f"{path}/model={len(seconds)}-{uuid.uuid4().hex}")
         return model
 
     with ThreadPoolExecutor(parallel_fits) as pool:
         models = dict(zip(labels, pool.map(fit, labels)))
-    return ExpectedFit(models, seconds, tuple(group), table.where("is_target"), complete)
+    schema = T.StructType([*table.schema.fields, T.StructField("pred_count", T.DoubleType())])
+    spark = panel.sparkSession
+    scored = spark.read.schema(schema).parquet(path).select(*schema.names) if models else spark.createDataFrame([], schema)
+    return ExpectedFit(models, seconds, tuple(group), scored, complete)
 
 
 def save_models(fit: ExpectedFit, base: str) -> None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,20 @@ def classification_report(
     ).withColumn("auc", area_under_curve(scores).scalar())
 
 
+def fit_classes(
+    rows: DataFrame, observed: str, categories: list[str], numbers: list[str], trees: int = 200, depth: int = 9, seed: int = 2019,
+) -> PipelineModel:
+    """A classification forest for a 0/1 response; its second probability is the score."""
+    indexed = [f"{c}_index" for c in categories]
+    return Pipeline(stages=[
+        StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep"),
+        VectorAssembler(inputCols=[*indexed, *numbers], outputCol="features"),
+        RandomForestClassifier(labelCol=observed, numTrees=trees, maxDepth=depth, seed=seed),
+    ]).fit(rows)
+
+
 def rescore(path: str, rows: DataFrame) -> DataFrame:
-    """Predictions of a saved pipeline for new rows."""
-    return PipelineModel.load(path).transform(rows)
+    """``score`` of a saved classification pipeline for new rows: the share of votes for 1."""
+    scored = PipelineModel.load(path).transform(rows)
+    votes = vector_to_array("probability")
+    return scored.withColumn("score", F.coalesce(F.get(votes, F.lit(1)), F.lit(0.0))).select(*rows.columns, "score")

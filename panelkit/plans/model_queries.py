@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.constants import FOREST, HORIZON, LAGS, SEASON
-from panelkit.operators import expected as op, forecast as fc, scoring
+from panelkit.constants import HORIZON, KINDS, LAGS, SEASON
+from panelkit.operators import baseline as base, expected as op, forecast as fc, scoring
 from panelkit.operators.reshape import widen
 from panelkit.plans import sql, stand_ins as data
 from panelkit.plans.baseline_queries import EXPECTED, expected
+from panelkit.plans.panel_queries import full_panel
 from panelkit.plans.registry import query
 from panelkit.plans.sql import with_
 from panelkit.session import shared_path, stage
 
-# Fewer trees than the library's default, to keep a query short.
-SMALL_FOREST = {**FOREST, "numTrees": 20}
-SMALL_FORECAST = {**fc.FORECAST_FOREST, "numTrees": 20, "maxDepth": 6}
-
-
 @query("model_features", with_(sql.PANEL, f"""SELECT fips, date, alert_type, count, {sql.month('date')} AS month,
   CAST(dayofweek(date) AS VARCHAR) AS dow, {sql.weekday('date')} AS day_week,
   CASE WHEN dayofweek(date) IN (0, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weekend FROM panel"""))
@@ -41,18 +34,55 @@ def split_train_test(spark, d):
     return split.select("l_orderkey", "l_linenumber", "l_quantity", "is_test")
 
 
-def fitted(spark, d) -> op.ExpectedFit:
-    return op.fit_expected(data.panel(spark, d), data.TARGET_YEAR, forest=SMALL_FOREST)
+def _held_out(days: str, fips: str) -> str:
+    """The rule by which rows of earlier years are held out, in both dialects."""
+    return f"(({days}) * 7 + CAST({fips} AS INT) * 3) % 10 < 3"
+
+
+def fitted(spark, d, **options) -> op.ExpectedFit:
+    """Forests on the completed panel, so that true zeros train them too."""
+    test = F.expr(_held_out("datediff(date, DATE'1992-01-01')", "fips"))
+    return op.fit_expected(stage(full_panel(spark, d), "full-panel"), data.TARGET_YEAR, test=test, **options)
+
 
+FITTED = f"""rows AS (SELECT *, year(date) = {data.TARGET_YEAR} AS is_target,
+  {_held_out("date_diff('day', DATE '1992-01-01', date)", "fips")} AS is_test FROM full_panel WHERE year(date) <= {data.TARGET_YEAR}),
+fits AS (SELECT state, alert_type, count(*) FILTER (WHERE NOT is_target AND count IS NOT NULL AND NOT is_test) AS n_fit,
+  count(*) FILTER (WHERE NOT is_target AND count IS NOT NULL AND is_test) AS n_test, count(*) FILTER (WHERE is_target) AS n_predicted
+  FROM rows GROUP BY ALL)"""
 
-@query("fit_expected")
+
+@query("fit_expected", with_(sql.FULL, FITTED,
+       "SELECT state, alert_type, n_predicted, 0::BIGINT AS n_unusable FROM fits WHERE n_fit > 0 AND n_predicted > 0"))
 def fit_expected(spark, d):
-    return op.compile_predictions(fitted(spark, d).predictions)
+    """Rows that each model has predicted, and predictions among them that are no count."""
+    unusable = F.col("pred_count").isNull() | F.isnan("pred_count") | (F.col("pred_count") < 0)
+    rows = op.compile_predictions(fitted(spark, d).predictions)
+    return rows.groupBy("state", "alert_type").agg(F.count(F.lit(1)).alias("n_predicted"), F.count_if(unusable).alias("n_unusable"))
 
 
-@query("forest_metrics")
+@query("forest_metrics", with_(sql.FULL, FITTED, """SELECT state, alert_type, n_fit, n_test, state || '_' || alert_type AS model,
+  true AS near_the_mean FROM fits WHERE n_fit > 0 AND n_test > 0"""))
 def forest_metrics(spark, d):
-    return op.model_metrics(fitted(spark, d))
+    """Sizes, and whether the error on held-out rows is below twice that of their mean."""
+    fit = fitted(spark, d)
+    plain = fit.holdout.groupBy("state", "alert_type").agg(F.var_pop("count").alias("variance"))
+    metrics = op.model_metrics(fit).join(plain, ["state", "alert_type"])
+    return metrics.select("state", "alert_type", "n_fit", "n_test", "model", (F.col("mse") <= 2 * F.col("variance") + 1e-9).alias("near_the_mean"))
+
+
+@query("forest_index", with_(sql.FULL, FITTED, f"""SELECT f.state, f.county, f.fips, f.date, true AS has_predictions
+  FROM rows f WHERE is_target GROUP BY ALL"""))
+def forest_index(spark, d):
+    """The main run: panel, forest, index, outliers, thresholds and suppression, a row per place and day."""
+    rows = op.compile_predictions(fitted(spark, d).predictions)
+    wide = base.observed_vs_predicted_wide(rows, ["state", "county", "fips", "date"])
+    clean = base.impact_thresholded(base.null_outliers(wide))
+    cleaned = base.suppress_small_totals(clean, "pred_count")
+    known = F.lit(True)
+    for k in KINDS:
+        known = known & F.col(f"pred_count_{k}_nf").isNotNull()
+    return cleaned.select("state", "county", "fips", "date", known.alias("has_predictions"))
 
 
 METRICS = """metrics AS (SELECT state, alert_type, count(*) AS n_test,
@@ -118,22 +148,19 @@ def classification_report(spark, d):
     return data.shown(scoring.classification_report(scored(spark, d), "obs", "score"), "mse", "auc")
 
 
-@query("rescore")
+@query("rescore", """SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1) AS n_yes, true AS area_known
+  FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 < 3 AND quality IS NOT NULL""")
 def rescore(spark, d):
-    """Fit a forest on part of the labels, save it, and rescore the rest."""
-    rows = labelled(spark, d).select(
-        "doc_id", "lang", "n_chars", F.size(F.split("text", r"\s+")).alias("n_words"),
-        F.col("quality").cast("double").alias("obs"), op.in_test(["doc_id"]).alias("is_test"),
-    )
-    rows = stage(rows, "labelled")
-    pipeline = Pipeline(stages=[
-        StringIndexer(inputCol="lang", outputCol="lang_index", handleInvalid="keep"),
-        VectorAssembler(inputCols=["lang_index", "n_chars", "n_words"], outputCol="features"),
-        RandomForestRegressor(labelCol="obs", predictionCol="score", numTrees=20, seed=2019),
-    ])
+    """Fit a classification forest on part of the labels, save it, and rescore the rest."""
+    rows = stage(labelled(spark, d).select(
+        "doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
+        F.col("quality").cast("double").alias("obs"), (F.col("doc_id") % 10 < 3).alias("is_test"),
+    ).dropna(), "labelled")
     path = shared_path(spark, "model")
-    pipeline.fit(rows.where("not is_test")).write().save(path)
-    return scoring.classification_report(scoring.rescore(path, rows.where("is_test")), "obs", "score")
+    scoring.fit_classes(rows.where("not is_test"), "obs", ["lang"], ["n_chars", "n_words"]).write().save(path)
+    report = scoring.classification_report(scoring.rescore(path, rows.where("is_test")), "obs", "score")
+    known = (F.col("auc").isNull() & ((F.col("tp") + F.col("fn") == 0) | (F.col("fp") + F.col("tn") == 0))) | F.col("auc").between(0, 1)
+    return report.select("n", (F.col("tp") + F.col("fn")).alias("n_yes"), known.alias("area_known"))
 
 
 BY = ["state", "alert_type"]
@@ -189,20 +216,33 @@ def lag_embed(spark, d):
 
 def forecasts(spark, d) -> tuple[DataFrame, DataFrame]:
     series = stage(data.monthly_series(spark, d), "series")
-    steps = fc.direct_forecast(fc.log_diff(series, BY), BY, END, forest=SMALL_FORECAST)
-    return series, steps
+    return series, stage(fc.direct_forecast(fc.log_diff(series, BY), BY, END), "forecasts")
+
+
+# Series whose last training month has a value for each of the months that the model looks back to.
+FORECAST = _diffed(1) + f""",
+ends AS (SELECT state, alert_type, max(period) AS period FROM diffed WHERE period <= DATE '{END}' GROUP BY ALL),
+able AS (SELECT e.state, e.alert_type, e.period FROM ends e JOIN diffed d ON d.state = e.state AND d.alert_type = e.alert_type
+  AND d.period BETWEEN e.period - to_months({LAGS - 1}) AND e.period GROUP BY ALL HAVING count(*) = {LAGS})"""
 
 
-@query("direct_forecast")
+@query("direct_forecast", with_(SERIES, FORECAST, f"""SELECT state, alert_type, CAST(unnest(range(1, {HORIZON} + 1)) AS INTEGER) AS step,
+  true AS finite FROM able"""))
 def direct_forecast(spark, d):
-    return forecasts(spark, d)[1]
+    finite = F.col("y_hat").isNotNull() & ~F.isnan("y_hat") & (F.abs("y_hat") < 50)
+    return forecasts(spark, d)[1].select(*BY, "step", finite.alias("finite"))
 
 
-@query("forest_forecast_accuracy")
+@query("forest_forecast_accuracy", with_(SERIES, FORECAST, f"""SELECT a.state, a.alert_type, true AS finite FROM able a
+  JOIN (SELECT state, alert_type, max(period) AS last FROM series WHERE period <= DATE '{END}' GROUP BY ALL) l
+  ON l.state = a.state AND l.alert_type = a.alert_type
+  JOIN series s ON s.state = a.state AND s.alert_type = a.alert_type AND s.period > l.last AND s.period <= l.last + to_months({HORIZON})
+  GROUP BY ALL"""))
 def forest_forecast_accuracy(spark, d):
     series, steps = forecasts(spark, d)
     values = fc.back_transform(steps, fc.last_values(series, BY, END), BY)
-    return fc.forecast_accuracy(fc.forecast_frame(series, values, BY), BY)
+    accuracy = fc.forecast_accuracy(fc.forecast_frame(series, values, BY), BY)
+    return accuracy.select(*BY, (F.col("rmse").isNotNull() & (F.col("rmse") >= F.abs("me") - 1e-6)).alias("finite"))
 
 
 # Last year's log differences, as a forecast that SQL can follow.

@@ -9,11 +9,24 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import check, oracle
+from panelkit.constants import FOREST
+from panelkit.operators.forecast import FORECAST_FOREST
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, SQL = driver.queries(), driver.oracle_sql()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_forests():
+    """The queries use forests at full strength; here a few trees are enough."""
+    full = [(f, dict(f)) for f in (FOREST, FORECAST_FOREST)]
+    FOREST.update(numTrees=3, maxDepth=4)
+    FORECAST_FOREST.update(numTrees=3, maxDepth=4)
+    yield
+    for settings, before in full:
+        settings.update(before)
+
+
 @pytest.fixture(scope="module")
 def duck():
     return oracle(SF_DIR)
