@@ -3,6 +3,9 @@
 # Event types that the wide tables are built from.
 KINDS = ("ACCIDENT", "JAM", "WEATHERHAZARD")
 
+# Two parts around one comma, as in "state,county".
+PAIR = r"^([^,]+),([^,]+)$"
+
 # Thresholds and limits.
 MIN_BASELINE = 10  # smaller baselines are suppressed
 MAX_PERCENT_CHANGE = 500  # changes at or above this are dropped

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.constants import PAIR
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -22,9 +24,8 @@ def place_code(state_part, county_part) -> Column:
 
 def split_pair(text) -> tuple[Column, Column]:
     """Both halves of ``left,right``; NULL when the text is not such a pair."""
-    pattern = r"^([^,]+),([^,]+)$"
     return tuple(
-        F.nullif(F.regexp_extract(_col(text), pattern, i), F.lit("")) for i in (1, 2)
+        F.nullif(F.regexp_extract(_col(text), PAIR, i), F.lit("")) for i in (1, 2)
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.constants import PAIR
 from panelkit.functions import dates, text
 from panelkit.operators import keys, metro, panel as op
 from panelkit.plans import sql, stand_ins as data
@@ -135,8 +136,8 @@ vertices AS (SELECT r_name AS region, n_name AS subregion, CAST(n_nationkey AS B
   FROM nation JOIN region ON n_regionkey = r_regionkey
   CROSS JOIN (VALUES {", ".join(f"({o}, {x}, {y})" for o, x, y in CORNERS)}) c(o, x, y)),
 outline AS (SELECT v.*, n.fips FROM vertices v LEFT JOIN named n
-  ON regexp_extract(n.polyname, '^([^,]+),([^,]+)$', 1) = v.region
-  AND regexp_extract(n.polyname, '^([^,]+),([^,]+)$', 2) = v.subregion)"""
+  ON regexp_extract(n.polyname, '{PAIR}', 1) = v.region
+  AND regexp_extract(n.polyname, '{PAIR}', 2) = v.subregion)"""
 
 
 def polygons(spark, d) -> DataFrame:

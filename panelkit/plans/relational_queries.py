@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
-from panelkit.constants import KINDS
+from panelkit.constants import KINDS, PAIR
 from panelkit.functions import dates, nulls, text
 from panelkit.operators import keys
 from panelkit.operators.reshape import lengthen, widen
@@ -296,10 +296,10 @@ def category_index(spark, d):
 # Scalars.
 
 
-@query("text_functions", """SELECT o_orderkey, printf('%05d', o_custkey) AS padded, printf('%02d', o_custkey) AS padded_narrow,
+@query("text_functions", f"""SELECT o_orderkey, printf('%05d', o_custkey) AS padded, printf('%02d', o_custkey) AS padded_narrow,
   substr(CAST(o_orderdate AS VARCHAR), 1, 7) AS ym, split_part(o_orderpriority, '-', 1) AS code,
-  nullif(regexp_extract(o_orderstatus || ',' || o_orderpriority, '^([^,]+),([^,]+)$', 2), '') AS second_half,
-  nullif(regexp_extract(o_orderpriority, '^([^,]+),([^,]+)$', 1), '') AS no_pair,
+  nullif(regexp_extract(o_orderstatus || ',' || o_orderpriority, '{PAIR}', 2), '') AS second_half,
+  nullif(regexp_extract(o_orderpriority, '{PAIR}', 1), '') AS no_pair,
   concat_ws(' ', o_orderstatus, nullif(o_orderpriority, '5-LOW')) AS label,
   CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'now' ELSE 'later' END AS class FROM orders""")
 def text_functions(spark, d):

@@ -2,37 +2,6 @@
 
 from __future__ import annotations
 
-from panelkit.constants import KINDS
-
-HOURLY_COUNTS = (
-    "state_part string, county_part string, date date, hour int, alert_type string, count long"
-)
-CASES = (
-    "date date, county string, state string, fips string, cases long, deaths long"
-)
-PLACES = ("fips string, state string, county string")
-PANEL = (
-    "fips string, state string, county string, date date, alert_type string, count long,"
-    " cases long, deaths long, year int, month string, dow int"
-)
-DELINEATION = (
-    "cbsa_code string, cbsa_title string, csa_title string, division_code string,"
-    " division_title string, metro_type string, central_outlying string, fips string"
-)
-
-
-def week_schema(place_columns: str, kinds=KINDS) -> str:
-    """Weekly wide table: sums for the week, the year before and the week before."""
-    measures = ", ".join(
-        f"{m}_{k} double"
-        for m in ("week_sum", "prior_year", "prev_week", "window_mean")
-        for k in kinds
-    )
-    return (
-        f"{place_columns}, year int, week int, month_start int, {measures}"
-    )
-
-
 def monthly_wide_schema() -> str:
     months = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
     return (
