@@ -21,8 +21,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality.keep(docs, table(spark, sf_dir, "labels"))
+    """Documents that the rules keep; the number of a text's copies doesn't count against it."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"), once=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,17 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, D).collect()) == [7, 20]
 
 
+def test_copies_of_a_clean_text_do_not_reject_it(spark):
+    """An unlabelled text at a third of the rows; one copy is left for the stages that follow."""
+    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    kept = corpus_pipeline.quality_rules(spark, docs, D)
+    clean = kept.join(labels, "doc_id", "left_anti").orderBy("doc_id").first()
+    copies = spark.createDataFrame([(10**6 + i, *clean[1:]) for i in range(docs.count() // 2)], docs.schema)
+    out = corpus_pipeline.quality_rules(spark, docs.unionByName(copies), D)
+    assert out.where(F.col("text") == clean.text).count() >= copies.count() + 1
+    assert corpus_pipeline.near_dedup(spark, out, D).where(F.col("text") == clean.text).count() == 1
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
     status = check(oracle(D), QUERIES[name](spark, D), ORACLES[name])
