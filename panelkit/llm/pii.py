@@ -7,7 +7,9 @@ leftmost spans of its kind and none that overlaps the one before.
 
 Base kinds are ``email``, ``ip``, ``card`` and ``phone``. The method adds ``url``
 (an address with a scheme) and ``account`` (the value after an announcing word, if
-it has a digit and at least six characters, or a valid IBAN after its cue).
+it has a digit and at least six characters, or a valid IBAN after its cue). Words
+and schemes are found in any casing; a word starts at a word's start, after ``_`` or
+at a camel-case boundary.
 
 Defined results: a NULL or empty text has no spans; positions are code points,
 the end exclusive; equal rows give equal results; spans of different kinds may
@@ -28,7 +30,7 @@ from panelkit.llm.common import in_batches, texts
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
-CUES = ("account", "acct", "iban", "ssn", "passport", "token", "secret", "password", "api_key", "apikey")
+CUES = ("account", "acct", "iban", "ssn", "passport", "token", "secret", "password", "api_key", "apikey", "api key", "api-key")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +40,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _ADDRESS = re.compile(r"[^\s<>\"'`|\\]+")
-_AFTER_CUE = re.compile(r"(?:[ _-]?(?:no|number|num|id|code|key)\b\.?)?[ \t]*[:=#]?[ \t]*[\"']?")
+_UNTIL_VALUE = r"(?:[\"'](?=[ \t]*[:=#]))?[ \t]*[:=#]?[ \t]*[\"']?"
+#: What may stand between a cue and its value; the second, where the first finds none, takes a follow-up word as a part of the value.
+_AFTER_CUE = (re.compile(r"(?:[ _-]?(?:no|number|num|id|code|key)\b\.?)?" + _UNTIL_VALUE, re.IGNORECASE | re.ASCII), re.compile(_UNTIL_VALUE))
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}  # keeps the length
 _VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_\-./+=]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 
@@ -48,11 +53,9 @@ def _automaton() -> ahocorasick.Automaton:
     for sign in "@+0123456789":
         found.add_word(sign, ("digit" if sign.isdigit() else sign, 1))
     for scheme in SCHEMES:
-        for form in {scheme, scheme.upper(), scheme.capitalize()}:
-            found.add_word(form, ("scheme", len(form)))
+        found.add_word(scheme, ("scheme", len(scheme)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -75,14 +78,26 @@ def _byte(part: str) -> bool:
     return len(short) <= 3 and int(short or "0") <= 255
 
 
-def _account(text: str, cue_start: int, cue_end: int) -> tuple[int, int] | None:
-    """The value that an announcing word points to."""
-    if cue_start and (text[cue_start - 1].isalnum() or text[cue_start - 1] == "_"):
-        return None
-    lead = _AFTER_CUE.match(text, cue_end)
-    at = lead.end()
-    if at == cue_end:
+def _starts_word(text: str, at: int) -> bool:
+    """Whether a word may start here: not inside another, but after ``_`` or at a camel-case boundary."""
+    if not at or not text[at - 1].isalnum():
+        return True
+    return text[at].isupper() and (not text[at - 1].isupper() or text[at + 1].islower())
+
+
+def _account(text: str, cue_start: int, cue_end: int, least: int) -> tuple[int, int] | None:
+    """The value that an announcing word points to, if it starts at ``least`` or later."""
+    if not _starts_word(text, cue_start):
         return None
+    for lead in _AFTER_CUE:
+        at = lead.match(text, cue_end).end()
+        if at > cue_end and at >= least and (found := _value(text, at)):
+            return found
+    return None
+
+
+def _value(text: str, at: int) -> tuple[int, int] | None:
+    """The IBAN or other identifier that starts here."""
     if iban := _IBAN.match(text, at):
         for end in range(iban.end(), at + 14, -1):
             if valid_iban(text[at:end]):
@@ -100,7 +115,7 @@ def spans(text: str) -> list[tuple[int, str, int]]:
     """All spans as (start, kind, end), by start and then in the order of the kinds."""
     out: list[tuple[int, str, int]] = []
     email = ip = card = phone = url = account = 0  # where each kind goes on
-    for last, (kind, size) in ANCHORS.iter(text):
+    for last, (kind, size) in ANCHORS.iter(text.translate(_LOWER)):
         at = last + 1 - size
         if kind == "digit":
             if at >= card and (m := _CARD.match(text, at)):
@@ -133,7 +148,7 @@ def spans(text: str) -> list[tuple[int, str, int]]:
                 if end > last + 1:
                     url = end
                     out.append((at, "url", end))
-        elif at >= account and (found := _account(text, at, last + 1)):
+        elif found := _account(text, at, last + 1, account):
             account = found[1]
             out.append((found[0], "account", found[1]))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))

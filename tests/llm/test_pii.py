@@ -78,6 +78,37 @@ def test_added_spans(text, expected):
     assert [(k, text[a:b]) for a, k, b in pii.spans(text) if k not in pii.BASE] == expected
 
 
+@pytest.mark.parametrize("text, value", [
+    ('access_token = "9f8e7d6c5b4a"', "9f8e7d6c5b4a"),
+    ("DB_PASSWORD=hunter2xyz", "hunter2xyz"),
+    ("client_secret: ab12cd34ef", "ab12cd34ef"),
+    ("accessToken: 9f8e7d6c5b4a", "9f8e7d6c5b4a"),
+    ("APIToken=9f8e7d6c5b4a", "9f8e7d6c5b4a"),
+    ("Account Number: 12345678", "12345678"),
+    ("ACCOUNT NO: 12345678", "12345678"),
+    ("accountNumber=12345678", "12345678"),
+    ("apiKey: 9f8e7d6c5b4a", "9f8e7d6c5b4a"),
+    ("API Key: 9f8e7d6c5b4a", "9f8e7d6c5b4a"),
+    ("X-Api-Key: 9f8e7d6c5b4a", "9f8e7d6c5b4a"),
+    ('{"token": "9f8e7d6c5b4a"}', "9f8e7d6c5b4a"),
+    ("{'account_id' : '12345678'}", "12345678"),
+    ("É token: 9f8e7d6c5b4a İ", "9f8e7d6c5b4a"),
+    ("token CODE-12345", "CODE-12345"),
+])
+def test_forms_of_announced_values(text, value):
+    assert [(k, text[a:b]) for a, k, b in pii.spans(text)] == [("account", value)]
+    assert pii.redacted(text) == text.replace(value, "<account>")
+
+
+@pytest.mark.parametrize("text", ["mytoken 9f8e7d6c5b4a", "DBPASSWORD=hunter2xyz", 'the "token" 9f8e7d6c5b4a', "subaccounts 12345678"])
+def test_words_that_announce_nothing(text):
+    assert pii.spans(text) == []
+
+
+def test_a_cue_within_a_value():
+    assert pii.redacted("my_token: abc123-password: hunter22") == "my_token: <account>: <account>"
+
+
 def test_long_texts():
     for text in ("9" * 50_000, "a@" * 20_000, "1." * 20_000, "+1" * 20_000, "x" * 10_000 + "@y.z", "1 2-3 " * 20_000):
         assert base(text) == plain(text)
