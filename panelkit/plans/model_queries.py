@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.constants import HORIZON, KINDS, LAGS, SEASON
+from panelkit.constants import HORIZON, KINDS, LAGS, MIN_BASELINE, OUTLIER_CAP, SEASON, ZERO_BELOW
 from panelkit.operators import baseline as base, expected as op, forecast as fc, scoring
 from panelkit.operators.reshape import widen
 from panelkit.plans import sql, stand_ins as data
@@ -71,18 +73,53 @@ def forest_metrics(spark, d):
     return metrics.select("state", "alert_type", "n_fit", "n_test", "model", (F.col("mse") <= 2 * F.col("variance") + 1e-9).alias("near_the_mean"))
 
 
-@query("forest_index", with_(sql.FULL, FITTED, f"""SELECT f.state, f.county, f.fips, f.date, true AS has_predictions
-  FROM rows f WHERE is_target GROUP BY ALL"""))
-def forest_index(spark, d):
-    """The main run: panel, forest, index, outliers, thresholds and suppression, a row per place and day."""
+def main_run(spark, d) -> DataFrame:
+    """Panel, forest, outliers, thresholds, index and suppression, a row per place and day.
+
+    ``observed_WEATHERHAZARD`` is the count before the outlier rule; ``is_outlier``
+    and ``is_suppressed`` mark the rows that the rules have changed.
+    """
     rows = op.compile_predictions(fitted(spark, d).predictions)
     wide = base.observed_vs_predicted_wide(rows, ["state", "county", "fips", "date"])
-    clean = base.impact_thresholded(base.null_outliers(wide))
+    kept = wide.withColumn("observed_WEATHERHAZARD", F.col("count_WEATHERHAZARD"))
+    clean = base.impact_thresholded(base.null_outliers(kept))
     cleaned = base.suppress_small_totals(clean, "pred_count")
-    known = F.lit(True)
-    for k in KINDS:
-        known = known & F.col(f"pred_count_{k}_nf").isNotNull()
-    return cleaned.select("state", "county", "fips", "date", known.alias("has_predictions"))
+    return cleaned.withColumns({
+        "is_outlier": F.col("observed_WEATHERHAZARD").isNotNull() & F.col("count_WEATHERHAZARD").isNull(),
+        "is_suppressed": F.col("pred_count_total").isNotNull() & F.col("pred_count_JAM").isNull(),
+    })
+
+
+def run_holds(rows: DataFrame) -> DataFrame:
+    """The rows of ``main_run`` with ``holds``: whether each column follows from those that it is made of."""
+    counts, before, after = ([F.col(f"{p}_{k}{s}") for k in KINDS] for p, s in (("count", ""), ("pred_count", "_nf"), ("pred_count", "")))
+    both = lambda parts: reduce(lambda a, b: a & b, parts)
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * (1 + F.abs(b))
+    seen, small, index = F.col("observed_WEATHERHAZARD"), sum(before) < MIN_BASELINE, F.col("impact_index_th")
+    defined = both(c.isNotNull() & p.isNotNull() & (p != 0) for c, p in zip(counts, before))
+    mean = sum(c / F.nullif(p, F.lit(0)) - 1 for c, p in zip(counts, before)) / len(KINDS)
+    parts = [
+        *[(p == 0) | (p >= ZERO_BELOW[k]) for k, p in zip(KINDS, before)],
+        F.col("count_WEATHERHAZARD").eqNullSafe(F.when(seen <= OUTLIER_CAP, seen)),
+        F.col("is_outlier").eqNullSafe(F.coalesce(seen > OUTLIER_CAP, F.lit(False))),
+        index.isNotNull() == defined, F.coalesce(near(index, mean), ~defined),
+        near(F.col("pred_count_total"), sum(before)), F.col("is_suppressed").eqNullSafe(small),
+        *[b.eqNullSafe(F.when(~small, p)) for p, b in zip(before, after)],
+    ]
+    return rows.withColumn("holds", F.coalesce(both(parts), F.lit(False)))
+
+
+@query("forest_index", with_(sql.FULL, FITTED, f"""SELECT f.state, f.county, f.fips, f.date, true AS has_predictions
+  FROM rows f WHERE is_target GROUP BY ALL"""))
+def forest_index(spark, d):
+    """Whether the main run has predictions for each place and day, and its index, outlier and suppression columns follow from them."""
+    return run_holds(main_run(spark, d)).select("state", "county", "fips", "date", F.col("holds").alias("has_predictions"))
+
+
+@query("forest_index_rows")
+def forest_index_rows(spark, d):
+    """All columns of the main run. SQL can't fit a forest; ``forest_index`` states what SQL can check of them."""
+    return main_run(spark, d)
 
 
 METRICS = """metrics AS (SELECT state, alert_type, count(*) AS n_test,

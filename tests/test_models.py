@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from panelkit.operators import expected, forecast
+from panelkit.operators import baseline, expected, forecast
+from panelkit.plans import model_queries
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +104,36 @@ def test_seasonal_naive_repeats_over_a_long_horizon(spark):
     out = forecast.seasonal_naive(series, ["series"], "2020-12-01", 12, 18).orderBy("period").collect()
     assert [r.forecast for r in out] == [*range(1, 13), *range(1, 7)]
     assert out[-1].period == date(2022, 6, 1)
+
+
+@pytest.fixture
+def run_rows(spark, monkeypatch):
+    """The main run over hand-made predictions: ordinary, an outlier, a small total, an unknown count, an expectation of 0."""
+    cases = {"a": ((10, 20, 30), (20.0, 10.0, 30.0)), "b": ((1, 2, 10_001), (20.0, 10.0, 30.0)), "c": ((1, 2, 3), (1.0, 2.0, 6.0)),
+             "d": ((None, 2, 3), (5.0, 5.0, 5.0)), "e": ((1, 2, 3), (0.1, 20.0, 5.0))}
+    rows = [("S", f, f, date(2020, 1, 1), k, c, p) for f, (counts, preds) in cases.items() for k, c, p in zip(("ACCIDENT", "JAM", "WEATHERHAZARD"), counts, preds)]
+    df = spark.createDataFrame(rows, "state string, county string, fips string, date date, alert_type string, count long, pred_count double")
+    predictions = expected.model_features(df)
+    monkeypatch.setattr(model_queries, "fitted", lambda *_: SimpleNamespace(predictions=predictions))
+
+
+def test_the_main_run_has_index_outliers_and_suppression(spark, run_rows):
+    out = {r.fips: r for r in model_queries.forest_index_rows(spark, "").collect()}
+    assert {f for f, r in out.items() if r.is_outlier} == {"b"} and {f for f, r in out.items() if r.is_suppressed} == {"c"}
+    assert {f for f, r in out.items() if r.impact_index_th is None} == {"b", "d", "e"}
+    assert out["a"].impact_index_th == pytest.approx((-0.5 + 1 + 0) / 3) and out["b"].count_WEATHERHAZARD is None
+    assert out["c"].pred_count_JAM is None and out["c"].pred_count_JAM_nf == 2 and out["e"].pred_count_ACCIDENT == 0
+
+
+@pytest.mark.parametrize("step, wrong", [
+    (None, None),
+    ("null_outliers", lambda df: df),
+    ("suppress_small_totals", lambda df, prefix: baseline.suppress_small_totals(df, prefix, 3)),
+    ("impact_thresholded", lambda df: baseline.impact_thresholded(df).withColumn("impact_index_th", F.lit(0.0))),
+    ("impact_thresholded", lambda df: baseline.impact_index(df, "_th")),
+])
+def test_forest_index_shows_an_error_in_any_step(spark, run_rows, monkeypatch, step, wrong):
+    if step:
+        monkeypatch.setattr(model_queries, "base", SimpleNamespace(**{**vars(baseline), step: wrong}))
+    rows = model_queries.forest_index(spark, "").collect()
+    assert len(rows) == 5 and all(r.has_predictions for r in rows) == (step is None)
