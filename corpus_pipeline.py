@@ -26,14 +26,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest key; one row of each key.
+    """Of each component of near-duplicates the row with the smallest key, then text hash; unknown keys come last.
 
-    Documents without a key can't be told apart by it and stay.
+    Rows are told apart by key and text, so unlike texts under one key both stay.
+    A row with neither is a copy of nothing and stays.
     """
-    found = stage(simhash.near_duplicates(docs), "near-duplicates")
-    extra = found.where("doc_id <> component_id").select("doc_id").distinct()
-    keyed = docs.where("doc_id is not null").join(extra, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return keyed.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    blank = F.col("doc_id").isNull() & F.col("text").isNull()
+    row = F.concat_ws("|", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("doc_id").cast("string"))
+    keyed = docs.where(~blank).withColumn("_row", row)
+    found = stage(simhash.near_duplicates(keyed, key="_row"), "near-duplicates")
+    own = F.when(F.length("doc_id") > 64, F.substring("doc_id", 66, 1 << 30)).cast(dict(docs.dtypes)["doc_id"])
+    first = F.min(F.struct(own.isNull().alias("unknown"), own.alias("key"), F.col("doc_id").alias("_row")))
+    chosen = found.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    kept = keyed.dropDuplicates(["_row"]).join(chosen, "_row", "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where(blank))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

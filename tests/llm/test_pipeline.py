@@ -63,6 +63,16 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, D).collect()) == [7, 20]
 
 
+def test_rows_are_told_apart_by_key_and_text(spark):
+    first, second, third = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    rows = [(-5, first), (3, second), (3, first), (3, second), (None, third), (None, third), (None, second), (None, None), (20, third)]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, D).collect()]
+    assert sorted(out, key=str) == sorted([(-5, first), (3, second), (20, third), (None, None)], key=str)
+    unknown = corpus_pipeline.near_dedup(spark, df.where("doc_id is null"), D).collect()
+    assert sorted(str(r.text) for r in unknown) == sorted([third, second, "None"])
+
+
 def test_copies_of_a_clean_text_do_not_reject_it(spark):
     """An unlabelled text at a third of the rows; one copy is left for the stages that follow."""
     docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
