@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,3 +60,14 @@ def words_of(text: Column | str) -> Column:
     """The words of a text: runs of anything but ASCII white space; none for NULL."""
     parts = F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), WORD_GAP)
     return F.filter(parts, lambda w: w != "")
+
+
+def slices(batch: pa.RecordBatch, text: str, rows: int = 1024, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most so many rows and so many bytes of text, or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, upto - at)
+        at = upto

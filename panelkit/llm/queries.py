@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import fingerprints, langid, licenses, mixing, pieces, pii, preference, quality, simhash, warc
+from panelkit.llm import (
+    fingerprints, langid, licenses, mixing, periods, pieces, pii, preference, quality, records, simhash, warc,
+)
 from panelkit.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +19,8 @@ QUERIES: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
@@ -184,3 +189,31 @@ LEFT JOIN (SELECT * FROM rest WHERE side = 1) r USING (pair_id)"""
 @query("op9_preference_format", PREFERENCE_SQL)
 def op9_preference_format(spark, d):
     return preference.flattened(preference.format_pairs(table(spark, d, "conversations")))
+
+
+@query("op11_token_records")
+def op11_token_records(spark, d):
+    back = records.roundtrip(table(spark, d, "documents"), BYTE_MODEL, END_ID)
+    return back.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of a tenth of the documents, chosen by a hash of the key, with a stretch up to the end made periodic."""
+    h = zlib.crc32(b"" if doc_id is None else b"%d" % doc_id)
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, d):
+    found = periods.find_runs(table(spark, d, "documents"), change=planted)
+    top = found.withColumn("top", periods.strongest("runs"))
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(periods.listed("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
