@@ -13,10 +13,11 @@ import struct
 import numpy as np
 import pyarrow as pa
 
-from panelkit.llm.segments import Kept, SegmentTable
+from panelkit.llm.segments import LATIN, SegmentTable
 
-#: Latin letters, all of them of the Unicode class L, then signs that never belong to a word.
-_word = re.compile(r" ([A-Za-zÀ-ÖØ-öø-ɏ]{1,64})([.,;:!?)\]]*)\Z")
+#: Signs that never belong to a word, nor begin a contraction.
+SIGNS = ".,;:!?)]"
+_word = re.compile(rf" ?[{LATIN}]{{1,64}}\Z|\n\Z|[{re.escape(SIGNS)}]{{1,8}}\Z")
 _loaded: dict[tuple[str, bool], "ByteEncoder"] = {}
 
 
@@ -51,37 +52,20 @@ class ByteEncoder:
         self.library.encode_special_tokens = plain
         self.model = self.library.model
         self.signs = str.maketrans({b: s for b, s in enumerate(byte_signs())})
-        self.words = Kept()
-        self.ends: dict[str, bytes] = {"": b""}
-        self.table = SegmentTable(self.segments, b"")
-
-    def spelled(self, piece: str) -> bytes:
-        """Ids of a piece that the library does not split."""
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.table = SegmentTable(self.segments, b"", signs=SIGNS)
 
     def segments(self, segments: list[str]) -> list[bytes]:
-        """Ids of each segment."""
-        words, ends = self.words, self.ends
-        words.age()
+        """Ids of each segment: words, signs and line breaks by the model itself, all else by the library's splitting first."""
+        tokenize, signs, pack = self.model.tokenize, self.signs, [struct.Struct(f"<{n}I").pack for n in range(80)]
         out: list = []
         others: list[int] = []
         for segment in segments:
-            found = _word.match(segment)
-            if found is None:
+            if _word.match(segment):
+                ids = [t.id for t in tokenize(segment.encode().decode("latin-1").translate(signs))]
+                out.append(pack[len(ids)](*ids) if len(ids) < 80 else struct.pack(f"<{len(ids)}I", *ids))
+            else:
                 others.append(len(out))
                 out.append(None)
-                continue
-            word, end = found.groups()
-            ids = words[word]
-            if ids is None:
-                ids = words[word] = self.spelled(f" {word}")
-            if end not in ends:
-                if len(end) > 8:
-                    out.append(ids + self.spelled(end))
-                    continue
-                ends[end] = self.spelled(end)
-            out.append(ids + ends[end])
         encoded = self.library.encode_batch_fast([segments[i] for i in others], add_special_tokens=False)
         for i, e in zip(others, encoded):
             ids = e.ids

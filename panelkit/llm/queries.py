@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import (
-    fingerprints, langid, licenses, mixing, periods, pieces, pii, preference, quality, records, simhash, warc,
+    alignment, fingerprints, langid, licenses, mixing, periods, pieces, pii, preference, quality, records, simhash, warc,
 )
 from panelkit.llm.common import table
 
@@ -198,6 +198,11 @@ def op11_token_records(spark, d):
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op12_token_alignment")
+def op12_token_alignment(spark, d):
+    return alignment.describe(table(spark, d, "documents"), BYTE_MODEL, PIECE_MODEL)
+
+
 def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Words of a tenth of the documents, chosen by a hash of the key, with a stretch up to the end made periodic."""
     h = zlib.crc32(b"" if doc_id is None else b"%d" % doc_id)
