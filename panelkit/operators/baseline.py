@@ -88,11 +88,11 @@ def impact_index(
 ) -> DataFrame:
     """Relative change from expected per kind, and the strict mean over kinds.
 
-    A change is NULL when either side is unknown or the expectation is 0, and
-    the index is NULL when any of the changes is.
+    A change is NULL when either side is unknown or no finite number, or the
+    expectation is 0, and the index is NULL when any of the changes is.
     """
     changes = {
-        f"{IMPACT_NAMES[k]}{suffix}": nulls.relative_change(f"count_{k}", predicted(k))
+        f"{IMPACT_NAMES[k]}{suffix}": nulls.finite(nulls.relative_change(f"count_{k}", predicted(k)))
         for k in kinds
     }
     index = nulls.row_sum(*changes) / len(kinds)

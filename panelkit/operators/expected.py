@@ -1,21 +1,24 @@
 """Expected counts: one distributed forest per group, or a window mean.
 
-The driver only holds the list of groups (states x kinds) and the fitted
-models. Each fit is a distributed job over that group's partition of one staged
-table; a few fits run at the same time so that small groups do not leave the
-cluster idle.
+The driver only holds the list of groups (states x kinds) with their number of
+places, and the fitted models. Places are numbered in a table that joins the rows.
+Each fit is a distributed job over that group's partition of one staged table; a
+few fits run at the same time so that small groups do not leave the cluster idle.
 """
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,11 +27,20 @@ from pyspark.sql import types as T
 
 from panelkit.constants import FOREST, TEST_SHARE
 from panelkit.functions import dates, nulls
+from panelkit.operators import dictionary, samples
 from panelkit.session import shared_path, stage
 
 GROUP = ("state", "alert_type")
-CATEGORIES = ["month", "dow", "day_week", "fips"]
-PREDICTORS = [*CATEGORIES, "weekend"]
+PLACE = "fips"
+#: Categories with all their values; those of places are found in the data.
+FIXED = {
+    "month": [f"{m:02d}" for m in range(1, 13)],
+    "dow": [str(d) for d in range(7)],
+    "day_week": "Sunday Monday Tuesday Wednesday Thursday Friday Saturday".split(),
+}
+PREDICTORS = [*FIXED, PLACE, "weekend"]
+#: Most values of a category that a forest can take; statistics of a split grow with them.
+MAX_PLACES = 10_000
 
 
 def model_features(panel: DataFrame) -> DataFrame:
@@ -54,29 +66,54 @@ def in_test(keys: list[str], share: float = TEST_SHARE) -> Column:
 def split_train_test(
     df: DataFrame, complete: list[str], test: Column, thin: Column | None = None
 ) -> DataFrame:
-    """Complete cases with an ``is_test`` flag, optionally thinned first."""
+    """Complete cases with an ``is_test`` flag, optionally thinned first; :func:`samples.exact_split` gives exact sizes."""
     kept = df.dropna(subset=complete)
     return (kept if thin is None else kept.where(thin)).withColumn("is_test", test)
 
 
-def fit_group(
-    train: DataFrame, labels: list[list[str]], response: str, forest: dict, seed: int
-) -> PipelineModel:
-    """One forest over the training rows of a group, given its category labels."""
-    indexed = [f"{c}_index" for c in CATEGORIES]
-    encode = StringIndexerModel.from_arrays_of_labels(labels, CATEGORIES, indexed, handleInvalid="keep")
-    bins = max(32, 1 + max(len(values) for values in labels))
-    assemble = VectorAssembler(inputCols=[*indexed, "weekend"], outputCol="features")
-    model = RandomForestRegressor(
-        labelCol=response, predictionCol="pred_count", maxBins=bins, seed=seed, **forest
+def forest_settings(forest: dict, n_features: int = len(PREDICTORS), classes: bool = False) -> dict:
+    """Settings with the usual number of features to try at a split, if they name none:
+    a third of them for numbers, the root for classes, rounded down, one at least."""
+    usual = math.isqrt(n_features) if classes else max(n_features // 3, 1)
+    return {"featureSubsetStrategy": str(usual), **forest}
+
+
+def encoded(rows: DataFrame, places: DataFrame, n_places: int) -> DataFrame:
+    """Rows of one group with each category as a number; what training hasn't seen shares the number after the last.
+
+    ``places`` holds the group's places with their numbers. Their count is part of
+    the column's metadata, from which the forest knows that it is a category.
+    """
+    def nominal(name: str, number: Column, n: int) -> Column:
+        known = F.coalesce(number, F.lit(n)).cast("double")
+        return known.alias(name, metadata={"ml_attr": {"type": "nominal", "name": name, "num_vals": n + 1}})
+
+    joined = dictionary.encode(rows, places, [], PLACE, "_place")
+    fixed = [nominal(f"{c}_index", dictionary.position(c, v), len(v)) for c, v in FIXED.items()]
+    return joined.select(*rows.columns, *fixed, nominal(f"{PLACE}_index", F.col("_place"), n_places))
+
+
+def fit_group(train: DataFrame, n_places: int, response: str, forest: dict, seed: int, classes: bool = False) -> PipelineModel:
+    """One forest over the encoded training rows of a group."""
+    bins = max(32, n_places + 1)
+    if bins > MAX_PLACES:
+        raise ValueError(f"{n_places} places in one group; a forest takes {MAX_PLACES - 1} at most")
+    kind = RandomForestClassifier if classes else RandomForestRegressor
+    assemble = VectorAssembler(inputCols=[*[f"{c}_index" for c in (*FIXED, PLACE)], "weekend"], outputCol="features")
+    model = kind(
+        labelCol=response, predictionCol="pred_count", maxBins=bins, seed=seed, maxMemoryInMB=512, **forest_settings(forest, classes=classes)
     )
-    return Pipeline(stages=[encode, assemble, model]).fit(train)
+    return Pipeline(stages=[assemble, model]).fit(train)
 
 
-def _group_rows(df: DataFrame, group, values: tuple) -> DataFrame:
+def group_rows(df: DataFrame, group, values: tuple) -> DataFrame:
     return reduce(lambda d, gv: d.where(F.col(gv[0]).eqNullSafe(gv[1])), zip(group, values), df)
 
 
+def group_places(places: DataFrame, group, values: tuple) -> DataFrame:
+    return group_rows(places, group, values).select(PLACE, "id")
+
+
 @dataclass
 class ExpectedFit:
     """Models by group, the rows they were made from, and what they predict."""
@@ -86,6 +123,9 @@ class ExpectedFit:
     group: tuple[str, ...]
     scored: DataFrame
     complete: DataFrame
+    #: Places with their numbers per group, and how many each group has.
+    places: DataFrame
+    n_places: dict[tuple, int]
 
     @property
     def predictions(self) -> DataFrame:
@@ -94,7 +134,7 @@ class ExpectedFit:
 
     @property
     def holdout(self) -> DataFrame:
-        """Rows of earlier years that were kept out of the fits."""
+        """Rows that were kept out of the fits."""
         return self.scored.where("not is_target")
 
     @property
@@ -104,51 +144,86 @@ class ExpectedFit:
         )
 
 
+def score_groups(
+    rows: DataFrame, group, models: Callable[[tuple], PipelineModel], places: DataFrame, n_places: dict[tuple, int], parallel: int = 16,
+    then: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """``rows`` (staged by group) with what each group's model predicts, as one table.
+
+    The driver goes through the groups, a few at a time; each is a job of its own
+    that writes its part. Rows of a group without a model are left out.
+    """
+    spark = rows.sparkSession
+    path = shared_path(spark, "predictions")
+
+    def score(values: tuple) -> T.StructType:
+        own = encoded(group_rows(rows, group, values), group_places(places, group, values), n_places[values])
+        scored = then(models(values).transform(own)).drop("features", *[f"{c}_index" for c in (*FIXED, PLACE)])
+        scored.write.parquet(f"{path}/model={uuid.uuid4().hex}")
+        return scored.schema
+
+    with ThreadPoolExecutor(parallel) as pool:
+        schemas = list(pool.map(score, n_places))
+    if not schemas:
+        return spark.createDataFrame([], T.StructType([*rows.schema.fields, T.StructField("pred_count", T.DoubleType())]))
+    return spark.read.schema(schemas[0]).parquet(path).select(*schemas[0].names)
+
+
 def fit_expected(
-    panel: DataFrame, target_year: int, *, group=GROUP, response: str = "count",
-    forest: dict = FOREST, test_share: float = TEST_SHARE, test: Column | None = None, thin: Column | None = None,
+    panel: DataFrame, target_year: int, *, group=GROUP, response: str = "count", forest: dict | None = None,
+    test_share: float = TEST_SHARE, test: Column | None = None, test_rows: DataFrame | None = None,
+    pred_rows: DataFrame | None = None, thin: float | None = None, classes: bool = False,
     parallel_fits: int = 16, seed: int = 2019,
 ) -> ExpectedFit:
     """Fit the years before the target per group, to predict the target year.
 
-    ``test`` names the rows that are held out, by default a share by a hash of the
-    key; ``thin`` keeps a part of the earlier years only. Each fit writes what its
-    model predicts to its own part of one table, which is read back once.
+    Held out are ``test_rows``, a table of their own, or else the rows that ``test``
+    names, or else an exact share of each group. ``thin`` keeps an exact share of
+    each group's earlier rows (and of ``test_rows``). ``pred_rows`` stand for the
+    rows of the target year. With ``classes`` the response is a class from 0 on.
     """
-    kept = panel if thin is None else panel.where(thin | (F.year("date") == target_year))
-    featured = model_features(kept).withColumns({
-        "is_target": F.year("date") == target_year,
-        "is_test": in_test(["fips", "date", "alert_type"], test_share) if test is None else test,
-    }).where(F.col("date") <= F.lit(f"{target_year}-12-31").cast("date"))
-    table = stage(featured, "features", partition_by=group)
+    forest = FOREST if forest is None else forest
+    if test_rows is not None and test is not None:
+        raise ValueError("name either test_rows or test, not both")
+    last = F.lit(f"{target_year}-12-31").cast("date")
+    target = F.year("date") == target_year
+    columns = panel.columns
+
+    def flagged(rows: DataFrame, is_target: Column, is_test: Column) -> DataFrame:
+        return rows.select(*columns, is_target.alias("is_target"), is_test.alias("is_test"))
+
+    no = F.lit(False)
+    known = panel.where(F.col("date") <= last)
+    tables = [flagged(known, target, no if test is None else test)]
+    if pred_rows is not None:
+        tables = [flagged(known.where(~target), no, no if test is None else test), flagged(pred_rows, F.lit(True), no)]
+    if test_rows is not None:
+        tables.append(flagged(test_rows, no, F.lit(True)))
+    table = stage(model_features(reduce(DataFrame.unionByName, tables)), "features", partition_by=group)
     complete = table.where(~F.col("is_target")).dropna(subset=[*PREDICTORS, response])
+    if thin is not None:
+        kept = samples.choose(complete, [*group, "is_test"], samples.share_of(thin), seed=seed + 1).where("chosen").drop("chosen")
+        complete = stage(kept, "thinned", partition_by=group)
+    if test is None and test_rows is None:
+        split = samples.exact_split(complete.drop("is_test"), list(group), test_share, seed=seed)
+        complete = stage(split.select(*table.columns), "split", partition_by=group)
     train = complete.where(~F.col("is_test"))
-    # One row per group with its category labels: bounded by the codes in use.
-    found = train.groupBy(*group).agg(*[F.array_sort(F.collect_set(c)) for c in CATEGORIES]).collect()
-    labels = {tuple(r[:len(group)]): list(r[len(group):]) for r in found}
+    places = stage(dictionary.dense_ids(train, list(group), PLACE), "places", partition_by=group)
+    # A row per group: its name and how many places it has.
+    n_places = {tuple(r[:len(group)]): r.n_values for r in dictionary.sizes(places, list(group)).collect()}
     seconds: dict[tuple, float] = {}
-    applied = table.where("is_target").unionByName(complete.where("is_test"))
-    path = shared_path(panel.sparkSession, "predictions")
+    models: dict[tuple, PipelineModel] = {}
 
     def fit(values: tuple) -> PipelineModel:
         start = time.monotonic()
-        model = fit_group(_group_rows(train, group, values), labels[values], response, forest, seed)
+        own = encoded(group_rows(train, group, values), group_places(places, group, values), n_places[values])
+        models[values] = fit_group(own, n_places[values], response, forest, seed, classes)
         seconds[values] = time.monotonic() - start
-        scored = model.transform(_group_rows(applied, group, values)).select(*table.columns, "pred_count")
-        scored.write.parquet(f"{path}/model={len(seconds)}-{uuid.uuid4().hex}")
-        return model
-
-    with ThreadPoolExecutor(parallel_fits) as pool:
-        models = dict(zip(labels, pool.map(fit, labels)))
-    schema = T.StructType([*table.schema.fields, T.StructField("pred_count", T.DoubleType())])
-    spark = panel.sparkSession
-    scored = spark.read.schema(schema).parquet(path).select(*schema.names) if models else spark.createDataFrame([], schema)
-    return ExpectedFit(models, seconds, tuple(group), scored, complete)
+        return models[values]
 
-
-def save_models(fit: ExpectedFit, base: str) -> None:
-    for values, model in fit.models.items():
-        model.write().overwrite().save("/".join([base, *[str(v) for v in values]]))
+    applied = table.where("is_target").unionByName(complete.where("is_test"))
+    scored = score_groups(applied, group, fit, places, n_places, parallel_fits)
+    return ExpectedFit(models, seconds, tuple(group), scored, complete, places, n_places)
 
 
 def fit_metrics(
@@ -162,14 +237,14 @@ def fit_metrics(
     ).withColumn("model", model)
 
 
-def model_metrics(fit: ExpectedFit, group=GROUP) -> DataFrame:
+def model_metrics(fit: ExpectedFit, group=GROUP, response: str = "count") -> DataFrame:
     """Training and test rows, error and fitting time per model."""
     spark = fit.holdout.sparkSession
     times = spark.createDataFrame(
         [(*g, s) for g, s in fit.seconds.items()],
         ", ".join([*[f"{g} string" for g in group], "runtime double"]),
     )
-    errors = fit_metrics(fit.holdout, group).drop("n_test")
+    errors = fit_metrics(fit.holdout, group, response).drop("n_test")
     return fit.training_sizes.join(errors, list(group), "left").join(times, list(group), "left")
 
 

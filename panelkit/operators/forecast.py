@@ -8,17 +8,17 @@ a loop over series on the driver.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkit.constants import HORIZON, LAGS, SEASON
 from panelkit.functions import dates
-from panelkit.session import stage
+from panelkit.session import shared_path, stage
 
 # Forest settings for forecasting.
 FORECAST_FOREST = {"numTrees": 500, "featureSubsetStrategy": "onethird", "minInstancesPerNode": 5, "maxDepth": 15}
@@ -82,13 +82,18 @@ def direct_forecast(
     )
     last = table.where("is_last")
 
-    def step(h: int) -> DataFrame:
-        model = RandomForestRegressor(labelCol=f"target{h}", predictionCol="y_hat", seed=seed, **forest)
+    spark, path = series.sparkSession, shared_path(series.sparkSession, "steps")
+
+    def step(h: int) -> T.StructType:
+        model = RandomForestRegressor(labelCol=f"target{h}", predictionCol="y_hat", seed=seed, maxMemoryInMB=512, **forest)
         fitted = model.fit(table.dropna(subset=[f"target{h}"]))
-        return fitted.transform(last).select(*by, F.lit(h).alias("step"), "y_hat")
+        forecast = fitted.transform(last).select(*by, F.lit(h).alias("step"), "y_hat")
+        forecast.write.parquet(f"{path}/part={h}")
+        return forecast.schema
 
     with ThreadPoolExecutor(parallel_fits) as pool:
-        return reduce(DataFrame.unionByName, pool.map(step, range(1, horizon + 1)))
+        schema = list(pool.map(step, range(1, horizon + 1)))[0]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def last_values(series: DataFrame, by: list[str], end: str) -> DataFrame:

@@ -79,13 +79,6 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def assert_row_preserving(right: DataFrame, keys: list[str]) -> None:
-    """Fail when a left join to ``right`` on ``keys`` would repeat left rows."""
-    repeated = repeated_keys(right, keys).limit(1).collect()
-    if repeated:
-        raise ValueError(f"join keys {keys} are not unique, e.g. {repeated[0].asDict()}")
-
-
 def assert_same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
     different = key_difference(left, right, keys).limit(1).collect()
     if different:

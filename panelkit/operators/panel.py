@@ -18,7 +18,7 @@ from panelkit.constants import KINDS
 from panelkit.functions import dates, nulls
 from panelkit.operators.keys import keep_members, key_union, once
 from panelkit.operators.reshape import widen, widen_sums
-from panelkit.session import stage
+from panelkit.session import rebalanced, stage
 
 
 def daily_counts(
@@ -117,9 +117,9 @@ def attach_measure(panel: DataFrame, measure: DataFrame, on: list[str]) -> DataF
 
 
 def attach_dimension(panel: DataFrame, dimension: DataFrame, key: str = "fips") -> DataFrame:
-    """Names of the dimension in place of any the panel already has."""
+    """Names of the dimension in place of any the panel already has; a repeated key of the dimension is an error."""
     stale = [c for c in dimension.columns if c != key and c in panel.columns]
-    return panel.drop(*stale).join(dimension, key, "left")
+    return panel.drop(*stale).join(once(dimension, [key]), key, "left")
 
 
 def fill_from_first_observed(
@@ -248,3 +248,78 @@ def last_complete_day(panel: DataFrame, date: str = "date", value: str = "count"
     columns = [date, "total_count", "known_cells", "null_cells"]
     latest = F.max_by(F.struct(*columns), F.col(date)).alias("latest")
     return per_day.where("known_cells > 0").agg(latest).select("latest.*")
+
+
+WEEK, MONTH = ["year", "week"], ["year", "month"]
+
+
+def _rewrite(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Replace the partitions that ``rows`` has, and leave the others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def read_stored(like: DataFrame, path: str) -> DataFrame:
+    """A stored panel with the columns and types of ``like``."""
+    return like.sparkSession.read.schema(like.schema).parquet(path).select(*like.columns)
+
+
+def write_weekly(weekly: DataFrame, path: str) -> None:
+    _rewrite(rebalanced(weekly, WEEK), path, WEEK)
+
+
+def write_daily_match(daily: DataFrame, path: str) -> None:
+    _rewrite(rebalanced(daily, MONTH), path, MONTH)
+
+
+def _weeks_of(days: DataFrame, date: str, *shifts: tuple[int, int]) -> DataFrame:
+    """Keys of the weeks so many years after and then so many days after each of some days."""
+    spots = [F.struct((dates.epi_year(F.date_add(date, d)) + y).alias("year"), dates.epi_week(F.date_add(date, d)).alias("week")) for y, d in shifts]
+    return days.select(F.explode(F.array(*spots)).alias("k")).select("k.*").distinct()
+
+
+def refresh_weekly(
+    panel: DataFrame, late: DataFrame, path: str, place: list[str], kinds=KINDS, value: str = "count", date: str = "date",
+    window: tuple[str, str] | None = None,
+) -> None:
+    """Bring a stored :func:`weekly_panel` up to date after days that came late (``late``, a table of dates).
+
+    Written anew are the weeks of those days, and the weeks that look back at them:
+    the next one, and the same one a year later. They are computed from the days of
+    these weeks and of those that they look back at. Late days within the window
+    change the mean of every week, so then all weeks are written anew.
+    """
+    days = late.select(date).where(F.col(date).isNotNull()).distinct()
+    if window:
+        start, end = (F.lit(d).cast("date") for d in window)
+        inside = F.date_sub(dates.week_ending(date), 6).between(start, end) & (dates.week_ending(date) <= end)
+        if not days.where(inside).isEmpty():
+            write_weekly(weekly_panel(panel, place, kinds, value, date, window), path)
+            return
+    keyed = panel.withColumns({"_year": dates.epi_year(date), "_week": dates.epi_week(date)})
+    changed = stage(_weeks_of(days, date, (0, 0), (0, 7), (1, 0)), "weeks")
+    # A changed week needs itself, the week before, and the same week a year before.
+    seen = keyed.select(date, F.col("_year").alias("year"), F.col("_week").alias("week")).distinct()
+    here = seen.join(changed, WEEK, "left_semi")
+    needed = _weeks_of(here, date, (0, 0), (0, -7), (-1, 0))
+    if window:
+        needed = needed.unionByName(_weeks_of(seen.where(F.col(date).between(start, end)), date, (0, 0))).distinct()
+    rows = keyed.join(needed.withColumnsRenamed({"year": "_year", "week": "_week"}), ["_year", "_week"], "left_semi").select(*panel.columns)
+    weekly = weekly_panel(rows, place, kinds, value, date, window)
+    write_weekly(weekly.join(changed, WEEK, "left_semi"), path)
+
+
+def refresh_daily_match(
+    panel: DataFrame, late: DataFrame, path: str, place: list[str], kinds=KINDS, value: str = "count", date: str = "date"
+) -> None:
+    """Bring a stored :func:`daily_match_panel` up to date: the months of late days, and the same months a year later."""
+    def months(days: DataFrame, *years: int) -> DataFrame:
+        spots = [F.struct((F.year(date) + y).alias("year"), dates.month_text(date).alias("month")) for y in years]
+        return days.select(F.explode(F.array(*spots)).alias("k")).select("k.*").distinct()
+
+    changed = stage(months(late.where(F.col(date).isNotNull()), 0, 1), "months")
+    keyed = panel.withColumns({"_year": F.year(date), "_month": dates.month_text(date)})
+    before = changed.select((F.col("year") - 1).alias("year"), "month")
+    needed = changed.unionByName(before).distinct().withColumnsRenamed({"year": "_year", "month": "_month"})
+    rows = keyed.join(needed, ["_year", "_month"], "left_semi").select(*panel.columns)
+    daily = daily_match_panel(rows, place, kinds, value, date)
+    write_daily_match(daily.join(changed, MONTH, "left_semi"), path)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.dictionary import position
+
+#: Most categories of a one-hot column, whose names travel with the schema.
+MAX_CATEGORIES = 10_000
+
 
 def widen(
     df: DataFrame, keys: list[str], names: str, values: dict[str, str], kinds, how=F.max
@@ -54,3 +60,40 @@ def lengthen(
 def name_value_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Named columns as (variable, value) rows."""
     return df.unpivot(keys, columns, "variable", "value")
+
+
+def categories(df: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list[str]:
+    """The values of a column in their order; more than ``most`` are an error. :mod:`dictionary` numbers any number of them."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return found
+
+
+def one_hot(df: DataFrame, column: str, values: list[str], name: str) -> DataFrame:
+    """A sparse vector with a 1 at the place of the row's value.
+
+    The last place stands for whatever is not in ``values``, NULL too. The names of
+    the places are metadata of the vector column, in which files and models keep them.
+    """
+    if not values or len(set(values)) < len(values):
+        raise ValueError("one-hot values must be given, each once")
+    place = f"_{name}_place"
+    spot = F.coalesce(position(column, values), F.lit(len(values))).cast("double")
+    nominal = {"ml_attr": {"type": "nominal", "name": column, "vals": list(values)}}
+    placed = df.withColumn(place, spot.alias(place, metadata=nominal))
+    encoder = OneHotEncoder(inputCols=[place], outputCols=[name], handleInvalid="keep", dropLast=False)
+    return encoder.fit(placed.limit(0)).transform(placed).drop(place)
+
+
+def one_hot_values(df: DataFrame, name: str) -> list[str]:
+    """The values that a one-hot column has places for, from its metadata."""
+    attributes = df.schema[name].metadata["ml_attr"]["attrs"]["binary"]
+    return [a["name"] for a in sorted(attributes, key=lambda a: a["idx"])][:-1]
+
+
+def from_one_hot(df: DataFrame, name: str, column: str) -> DataFrame:
+    """The value whose place a one-hot vector holds; NULL for one that had no place of its own."""
+    values = F.array(*[F.lit(v) for v in one_hot_values(df, name)])
+    place = F.unwrap_udt(name)["indices"][0]
+    return df.withColumn(column, F.get(values, place))

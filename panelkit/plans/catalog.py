@@ -7,6 +7,7 @@ from panelkit.plans import (  # noqa: F401
     panel_queries,
     quality_queries,
     relational_queries,
+    store_queries,
 )
 from panelkit.plans.registry import ORACLES, QUERIES
 

@@ -17,6 +17,9 @@ from panelkit.plans.registry import query
 from panelkit.plans.sql import with_
 from panelkit.session import shared_path, stage
 
+BY = ["state", "alert_type"]
+
+
 @query("model_features", with_(sql.PANEL, f"""SELECT fips, date, alert_type, count, {sql.month('date')} AS month,
   CAST(dayofweek(date) AS VARCHAR) AS dow, {sql.weekday('date')} AS day_week,
   CASE WHEN dayofweek(date) IN (0, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weekend FROM panel"""))
@@ -54,23 +57,38 @@ fits AS (SELECT state, alert_type, count(*) FILTER (WHERE NOT is_target AND coun
   FROM rows GROUP BY ALL)"""
 
 
-@query("fit_expected", with_(sql.FULL, FITTED,
-       "SELECT state, alert_type, n_predicted, 0::BIGINT AS n_unusable FROM fits WHERE n_fit > 0 AND n_predicted > 0"))
+TRAINED = """trained AS (SELECT * FROM rows WHERE NOT is_target AND NOT is_test AND count IS NOT NULL),
+ranges AS (SELECT state, alert_type, min(count) AS lowest, max(count) AS highest, count(DISTINCT fips) AS n_places FROM trained GROUP BY ALL)"""
+
+
+@query("fit_expected", with_(sql.FULL, FITTED, TRAINED, """SELECT state, alert_type, n_predicted, 0::BIGINT AS n_unusable, lowest, highest,
+  0::BIGINT AS n_outside, n_places, n_places AS n_near_mean FROM fits JOIN ranges USING (state, alert_type) WHERE n_predicted > 0"""))
 def fit_expected(spark, d):
-    """Rows that each model has predicted, and predictions among them that are no count."""
-    unusable = F.col("pred_count").isNull() | F.isnan("pred_count") | (F.col("pred_count") < 0)
-    rows = op.compile_predictions(fitted(spark, d).predictions)
-    return rows.groupBy("state", "alert_type").agg(F.count(F.lit(1)).alias("n_predicted"), F.count_if(unusable).alias("n_unusable"))
+    """Rows that each model has predicted: how many are no count, or outside the counts that it was fitted to; and at
+    how many of its places the mean prediction is within a quarter of their mean count, which mixed up predictions are not."""
+    fit = fitted(spark, d)
+    rows = stage(op.compile_predictions(fit.predictions), "compiled")
+    train = stage(fit.complete.where("not is_test").groupBy(*BY, "fips").agg(
+        F.avg("count").alias("mean"), F.min("count").alias("lowest"), F.max("count").alias("highest")), "trained")
+    ranges = train.groupBy(*BY).agg(F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), F.count(F.lit(1)).alias("n_places"))
+    pred = F.col("pred_count")
+    unusable = pred.isNull() | F.isnan(pred)
+    outside = (pred < F.col("lowest") - 1e-9) | (pred > F.col("highest") + 1e-9)
+    counted = rows.join(ranges, BY).groupBy(*BY, "lowest", "highest", "n_places").agg(
+        F.count(F.lit(1)).alias("n_predicted"), F.count_if(unusable).alias("n_unusable"), F.count_if(outside).alias("n_outside"))
+    means = rows.groupBy(*BY, "fips").agg(F.avg("pred_count").alias("predicted")).join(train, [*BY, "fips"])
+    near = F.abs(F.col("predicted") - F.col("mean")) <= 0.25 * F.col("mean") + 1e-9
+    return counted.join(means.groupBy(*BY).agg(F.count_if(near).alias("n_near_mean")), BY)
 
 
 @query("forest_metrics", with_(sql.FULL, FITTED, """SELECT state, alert_type, n_fit, n_test, state || '_' || alert_type AS model,
   true AS near_the_mean FROM fits WHERE n_fit > 0 AND n_test > 0"""))
 def forest_metrics(spark, d):
-    """Sizes, and whether the error on held-out rows is below twice that of their mean."""
+    """Sizes, and whether the error on held-out rows exceeds that of their mean by a tenth at most."""
     fit = fitted(spark, d)
     plain = fit.holdout.groupBy("state", "alert_type").agg(F.var_pop("count").alias("variance"))
     metrics = op.model_metrics(fit).join(plain, ["state", "alert_type"])
-    return metrics.select("state", "alert_type", "n_fit", "n_test", "model", (F.col("mse") <= 2 * F.col("variance") + 1e-9).alias("near_the_mean"))
+    return metrics.select("state", "alert_type", "n_fit", "n_test", "model", (F.col("mse") <= 1.1 * F.col("variance") + 1e-9).alias("near_the_mean"))
 
 
 def main_run(spark, d) -> DataFrame:
@@ -185,22 +203,25 @@ def classification_report(spark, d):
     return data.shown(scoring.classification_report(scored(spark, d), "obs", "score"), "mse", "auc")
 
 
-@query("rescore", """SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1) AS n_yes, true AS area_known
+@query("rescore", """SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1) AS n_yes, count(*) AS n_equal, true AS area_known
   FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 < 3 AND quality IS NOT NULL""")
 def rescore(spark, d):
-    """Fit a classification forest on part of the labels, save it, and rescore the rest."""
+    """Fit a classification forest on part of the labels, save it, and rescore the rest: with the scores of the model as it was before."""
     rows = stage(labelled(spark, d).select(
         "doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
         F.col("quality").cast("double").alias("obs"), (F.col("doc_id") % 10 < 3).alias("is_test"),
     ).dropna(), "labelled")
-    path = shared_path(spark, "model")
-    scoring.fit_classes(rows.where("not is_test"), "obs", ["lang"], ["n_chars", "n_words"]).write().save(path)
-    report = scoring.classification_report(scoring.rescore(path, rows.where("is_test")), "obs", "score")
+    path, test = shared_path(spark, "model"), rows.where("is_test")
+    model = scoring.fit_classes(rows.where("not is_test"), "obs", ["lang"], ["n_chars", "n_words"])
+    model.write().save(path)
+    before = scoring.votes_of(model.transform(test), ["no", "before"]).select("doc_id", "votes_before")
+    scored = stage(scoring.rescore(path, test).join(before, "doc_id"), "rescored")
+    equal = scored.agg(F.count_if(F.abs(F.col("score") - F.col("votes_before")) <= 1e-12)).scalar()
+    report = scoring.classification_report(scored, "obs", "score")
     known = (F.col("auc").isNull() & ((F.col("tp") + F.col("fn") == 0) | (F.col("fp") + F.col("tn") == 0))) | F.col("auc").between(0, 1)
-    return report.select("n", (F.col("tp") + F.col("fn")).alias("n_yes"), known.alias("area_known"))
+    return report.select("n", (F.col("tp") + F.col("fn")).alias("n_yes"), equal.alias("n_equal"), known.alias("area_known"))
 
 
-BY = ["state", "alert_type"]
 END = "2000-12-31"
 
 SERIES = f"""{sql.PANEL},
@@ -264,22 +285,34 @@ able AS (SELECT e.state, e.alert_type, e.period FROM ends e JOIN diffed d ON d.s
 
 
 @query("direct_forecast", with_(SERIES, FORECAST, f"""SELECT state, alert_type, CAST(unnest(range(1, {HORIZON} + 1)) AS INTEGER) AS step,
-  true AS finite FROM able"""))
+  round((SELECT min(y) FROM diffed WHERE period <= DATE '{END}'), 6) AS lowest, round((SELECT max(y) FROM diffed WHERE period <= DATE '{END}'), 6) AS highest,
+  true AS inside FROM able"""))
 def direct_forecast(spark, d):
-    finite = F.col("y_hat").isNotNull() & ~F.isnan("y_hat") & (F.abs("y_hat") < 50)
-    return forecasts(spark, d)[1].select(*BY, "step", finite.alias("finite"))
+    """Whether each forecast lies between the smallest and the largest value that the forests were fitted to."""
+    series, steps = forecasts(spark, d)
+    known = fc.log_diff(series, BY).where(F.col("period") <= F.lit(END).cast("date"))
+    span = known.agg(F.struct(F.min("y").alias("lowest"), F.max("y").alias("highest"))).scalar()
+    inside = F.col("y_hat").between(F.col("span.lowest") - 1e-9, F.col("span.highest") + 1e-9)
+    placed = steps.withColumn("span", span)
+    return data.shown(placed.select(*BY, "step", "span.lowest", "span.highest", F.coalesce(inside, F.lit(False)).alias("inside")), "lowest", "highest")
 
 
-@query("forest_forecast_accuracy", with_(SERIES, FORECAST, f"""SELECT a.state, a.alert_type, true AS finite FROM able a
+@query("forest_forecast_accuracy", with_(SERIES, FORECAST, f"""SELECT a.state, a.alert_type, count(*) AS n_months, round(avg(s.value), 6) AS mean_value, true AS finite FROM able a
   JOIN (SELECT state, alert_type, max(period) AS last FROM series WHERE period <= DATE '{END}' GROUP BY ALL) l
   ON l.state = a.state AND l.alert_type = a.alert_type
   JOIN series s ON s.state = a.state AND s.alert_type = a.alert_type AND s.period > l.last AND s.period <= l.last + to_months({HORIZON})
   GROUP BY ALL"""))
 def forest_forecast_accuracy(spark, d):
+    """Months that a forecast covers, their mean, and whether the error measures agree with one another and with it."""
     series, steps = forecasts(spark, d)
     values = fc.back_transform(steps, fc.last_values(series, BY, END), BY)
-    accuracy = fc.forecast_accuracy(fc.forecast_frame(series, values, BY), BY)
-    return accuracy.select(*BY, (F.col("rmse").isNotNull() & (F.col("rmse") >= F.abs("me") - 1e-6)).alias("finite"))
+    frame = stage(fc.forecast_frame(series, values, BY), "frame")
+    covered = frame.where("forecast IS NOT NULL").groupBy(*BY).agg(
+        F.count(F.lit(1)).alias("n_months"), F.avg("value").alias("mean_value"), F.avg("forecast").alias("mean_forecast"))
+    accuracy = fc.forecast_accuracy(frame, BY).join(covered, BY)
+    difference = F.col("mean_value") - F.col("mean_forecast")
+    agree = (F.col("rmse") >= F.col("mae") - 1e-6) & (F.col("mae") >= F.abs("me") - 1e-6) & (F.abs(F.col("me") - difference) <= 1e-6 * (1 + F.abs(difference)))
+    return data.shown(accuracy.select(*BY, "n_months", "mean_value", F.coalesce(agree, F.lit(False)).alias("finite")), "mean_value")
 
 
 # Last year's log differences, as a forecast that SQL can follow.

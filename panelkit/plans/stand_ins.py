@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.functions.nulls import rounded
 from panelkit.functions.text import padded
 from panelkit.operators.panel import weekly_panel
 from panelkit.session import stage
@@ -152,6 +151,3 @@ def monthly_series(spark: SparkSession, d: str) -> DataFrame:
 def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Sums of doubles depend on their order in the last bits; show fewer digits."""
     return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["rounded"]

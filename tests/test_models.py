@@ -7,7 +7,6 @@ from datetime import date
 from types import SimpleNamespace
 
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from panelkit.operators import baseline, expected, forecast
@@ -48,15 +47,7 @@ def test_one_model_per_group_with_metrics(fit):
     assert set(metrics) == {"A_JAM", "B_JAM"}
     for r in metrics.values():
         assert r.n_fit > r.n_test > 0 and r.mse >= 0 and r.runtime > 0
-        assert 0.2 < r.n_test / (r.n_fit + r.n_test) < 0.4
-
-
-def test_saved_model_predicts_the_same(fit, tmp_path):
-    expected.save_models(fit, str(tmp_path / "models"))
-    model = PipelineModel.load(str(tmp_path / "models" / "B" / "JAM"))
-    rows = fit.predictions.where("state = 'B'")
-    again = model.transform(rows.withColumnRenamed("pred_count", "before"))
-    assert again.where(F.abs(F.col("pred_count") - F.col("before")) > 1e-9).count() == 0
+        assert r.n_fit == (r.n_fit + r.n_test) * 7 // 10
 
 
 def test_split_is_stable_and_thinned(spark):

@@ -65,13 +65,6 @@ def test_daily_counts_are_strict_and_drop_unknown_places(spark):
     assert rows(out) == [("01001", D1, "JAM", 3), ("01001", D2, "JAM", None)]
 
 
-def test_assert_row_preserving(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int")
-    with pytest.raises(ValueError):
-        keys.assert_row_preserving(df, ["k"])
-    keys.assert_row_preserving(df, ["k", "v"])
-
-
 def test_key_sets(spark):
     a, b = (spark.createDataFrame([(x,) for x in s], "k string") for s in ("aab", "bc"))
     assert rows(keys.key_difference(a, b, ["k"])) == [("a", "left"), ("c", "right")]
