@@ -40,6 +40,8 @@ from panelkit.session import stage
 
 #: Most documents and bytes of text in a block, unless a single text has more.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 2 << 20
+#: Most segments of each of two generations that a worker keeps; each takes about 0.4 KB.
+KEPT = 200_000
 DOCUMENT = "n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,segments:int"
 _loaded: dict[tuple[str, str], "Aligner"] = {}
 Group = tuple[list[int], list[int]]
@@ -67,7 +69,7 @@ class Aligner:
             for i, p in enumerate(pieces)
         ]
         self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
-        self.table = SegmentTable(self.segments, self._empty(), leading=True)
+        self.table = SegmentTable(self.segments, self._empty(), leading=True, most=KEPT)
 
     @staticmethod
     def _empty() -> tuple:

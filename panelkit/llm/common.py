@@ -71,3 +71,11 @@ def slices(batch: pa.RecordBatch, text: str, rows: int = 1024, size: int = 1 <<
         upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
         yield batch.slice(at, upto - at)
         at = upto
+
+
+def own_name(wanted: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

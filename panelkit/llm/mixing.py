@@ -2,16 +2,18 @@
 
 A source's rate is its target share of the rows over its actual share. Each row
 gets a count from the Poisson distribution with that mean, by inverting the
-distribution function at a number drawn from a hash of the row's key, so that the
-same row gets the same count in every run. The row is repeated that often, and
-the copies are dealt over the partitions and sorted by a hash, a random order.
+distribution function at a number drawn from a hash of the row's key and text, so
+that the same row gets the same count in every run. The row is repeated that often,
+and the copies are dealt over the partitions and sorted by a hash, a random order.
 
 Everything here is DataFrame operations. The rates are a written table with a row
 per source; Spark broadcasts it if its size allows, and splits a source that holds
-many rows otherwise. Rows are shuffled once, by a key that is different for each.
+many rows otherwise. Rows are shuffled once, by a hash and by where the row stood,
+which together are different for each.
 
-Defined results: rows without a source form a source of their own; a NULL key
-hashes like the word null; equal rows get equal counts; no rows give no rows.
+Defined results: rows without a source form a source of their own; rows that repeat
+key and text get equal counts; a row without a key is drawn by where it stands in the
+table, each by itself, so the same files give the same counts; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.llm.common import own_name
 from panelkit.session import stage
 
 SEED = 7
@@ -74,7 +77,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, key: str = "doc_id", source: str = "source",
+    docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, key: str = "doc_id", source: str = "source", text: str = "text",
 ) -> DataFrame:
     """Rows repeated to the target weights, in a random order.
 
@@ -83,19 +86,26 @@ def mix(
     ``docs`` with these three names are replaced.
     """
     docs = docs.drop("rate", "copy", "shuffle_key")
-    rate = stage(rates(docs, weights, source), "rates").withColumnRenamed("source", "_mixed_source")
-    joined = docs.join(rate, F.coalesce(docs[source], F.lit(NO_SOURCE)) == rate["_mixed_source"]).drop("_mixed_source")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    other, copies, digest, row = (own_name(n, docs) for n in ("mixed_source", "copies", "text_md5", "row"))
+    rate = stage(rates(docs, weights, source), "rates").withColumnRenamed("source", other)
+    joined = docs.join(rate, F.coalesce(docs[source], F.lit(NO_SOURCE)) == rate[other]).withColumns({
+        digest: F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")),
+        # Where the row stands: it tells rows apart that nothing else does.
+        row: F.monotonically_increasing_id(),
+    })
+    identity = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row "), F.col(row)))
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     drawn = F.transform(
-        F.sequence(F.lit(1), parts), lambda i: poisson(F.col("rate") / parts, uniform(F.lit(seed), key, i.cast("string")))
+        F.sequence(F.lit(1), parts), lambda i: poisson(F.col("rate") / parts, uniform(F.lit(seed), identity, F.col(digest), i.cast("string")))
     )
     n = F.aggregate(drawn, F.lit(0), lambda a, b: a + b)
-    copies = joined.withColumn("_copies", n).where("_copies > 0").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))
-    ).drop("_copies")
-    order = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy")))
-    columns = [c for c in docs.columns]
+    repeated = joined.withColumn(copies, n).where(F.col(copies) > 0).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long")))
+    )
+    order = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), identity, F.col(digest), F.col("copy")))
+    # Rows that repeat key and text share their order, but not their partition.
     return (
-        copies.withColumn("shuffle_key", order).select(*columns, "rate", "copy", "shuffle_key")
-        .repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        repeated.withColumn("shuffle_key", order).select(*columns, "rate", "copy", "shuffle_key", row)
+        .repartition("shuffle_key", row).sortWithinPartitions("shuffle_key").drop(row)
     )

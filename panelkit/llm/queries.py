@@ -56,17 +56,18 @@ QUALITY_SQL = rf"""WITH {BASE_SQL},
 trusted AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 32, 1))::INTEGER % 2 = 0 AS fit FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
   ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {quality.MAX_TRUSTED}),
 code AS (SELECT doc_id, i, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM word),
+texts AS (SELECT min(d.doc_id) AS doc_id, bool_or(coalesce(t.fit, false)) AS good FROM docs d LEFT JOIN trusted t USING (doc_id) GROUP BY d.text),
 gram AS (SELECT doc_id, h & {quality.BUCKETS - 1} AS bucket FROM code UNION ALL
   SELECT doc_id, (h * 31 + h2) & {quality.BUCKETS - 1} FROM (SELECT doc_id, h, lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM code)
   WHERE h2 IS NOT NULL),
-counts AS (SELECT b.bucket, count(g.doc_id) + 1.0 AS n_raw, count(t.doc_id) + 1.0 AS n_trusted
-  FROM (SELECT unnest(range({quality.BUCKETS})) AS bucket) b LEFT JOIN gram g USING (bucket) LEFT JOIN trusted t ON t.doc_id = g.doc_id AND t.fit
+counts AS (SELECT b.bucket, count(g.doc_id) + 1.0 AS n_raw, count(g.doc_id) FILTER (WHERE g.good) + 1.0 AS n_trusted
+  FROM (SELECT unnest(range({quality.BUCKETS})) AS bucket) b LEFT JOIN (SELECT * FROM gram JOIN texts USING (doc_id)) g USING (bucket)
   GROUP BY b.bucket),
 weight AS (SELECT bucket, ln(n_trusted / sum(n_trusted) OVER ()) - ln(n_raw / sum(n_raw) OVER ()) AS w FROM counts),
 scored AS (SELECT doc_id, avg(w) AS score FROM gram JOIN weight USING (bucket) GROUP BY doc_id),
 judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM base LEFT JOIN scored USING (doc_id)),
-bar AS (SELECT least(0.0::DOUBLE, coalesce(quantile_cont(score, {quality.LOST}), 0)) - {quality.SLACK}::DOUBLE AS threshold
+bar AS (SELECT CASE WHEN count(score) = 0 THEN '-Infinity'::DOUBLE ELSE least(0.0::DOUBLE, quantile_cont(score, {quality.LOST})) - {quality.SLACK}::DOUBLE END AS threshold
   FROM scored JOIN trusted USING (doc_id) WHERE NOT fit)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
@@ -100,11 +101,11 @@ parts AS (SELECT src, rate, greatest(ceil(rate / {mixing.PART}), 1)::INTEGER AS
 cdf AS (SELECT src, m, rate / m AS r, 0 AS k, exp(-(rate / m)) AS p, exp(-(rate / m)) AS below FROM parts
   UNION ALL SELECT src, m, r, k + 1, p * r / (k + 1), below + p * r / (k + 1) FROM cdf WHERE k + 1 < {_TERMS}),
 docs AS (SELECT d.*, p.rate, p.m, coalesce(source, '{mixing.NO_SOURCE}') AS src FROM documents d JOIN parts p ON p.src = coalesce(d.source, '{mixing.NO_SOURCE}')),
-draws AS (SELECT doc_id, src, (('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || i), 1, 13))::BIGINT + 0.5::DOUBLE)
-  / 4503599627370496 AS u FROM (SELECT doc_id, src, unnest(range(1, m + 1)) AS i FROM docs)),
+draws AS (SELECT doc_id, src, (('0x' || substr(md5('{mixing.SEED}|' || doc_id || '|' || md5(coalesce(text, '')) || '|' || i), 1, 13))::BIGINT + 0.5::DOUBLE)
+  / 4503599627370496 AS u FROM (SELECT doc_id, src, text, unnest(range(1, m + 1)) AS i FROM docs)),
 counts AS (SELECT doc_id, count(c.k) AS n FROM draws d LEFT JOIN cdf c ON c.src = d.src AND d.u >= c.below GROUP BY doc_id)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, copy,
-  md5('{mixing.SEED} order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy) AS shuffle_key
+  md5('{mixing.SEED} order|' || doc_id || '|' || md5(coalesce(text, '')) || '|' || copy) AS shuffle_key
 FROM (SELECT docs.*, unnest(range(1, n + 1)) AS copy FROM docs JOIN counts USING (doc_id))"""
 
 

@@ -204,6 +204,9 @@ def roundtrip(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
     spark = docs.sparkSession
     folder = shared_path(spark, "records")
     write(docs, folder, tokenizer, end_id, key, text)
-    # The join moves rows of the index alone; sorted again, neighbours are fetched at once.
-    rows = with_starts(index(spark, folder)).sortWithinPartitions("place", "offset")
+    # The join moves rows of the index alone. They are dealt out by shard, so that each
+    # task has about a shard's bytes to fetch; sorted again, neighbours are fetched at once.
+    total = index(spark, folder).agg(F.sum("bytes")).first()[0] or 0
+    parts = max(1, -(-total // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = with_starts(index(spark, folder)).repartition(parts, "place").sortWithinPartitions("place", "offset")
     return read(rows, folder).select("doc_id", "start", "ids")

@@ -39,14 +39,15 @@ def cut(text: str) -> list[str]:
 
 
 class Kept(dict):
-    """A dictionary of at most two generations of ``KEPT`` entries, and those of one batch."""
+    """A dictionary of at most two generations of ``most`` entries, and those of one batch."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.older: dict = {}
 
     def age(self) -> None:
         """Begin a new generation if this one is full. Call it between batches."""
-        if len(self) >= KEPT:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
 
@@ -64,12 +65,13 @@ class SegmentTable:
     for itself with a space in front, unless it is empty. With ``signs``, texts are
     also cut after Latin words that one of these signs follows, and around a line
     break between such a sign and a word: for tokenizers that split at word borders.
+    ``most`` segments, twice, are kept (``KEPT`` by default).
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], nothing: object, leading: bool = False, signs: str = ""):
+    def __init__(self, compute: Callable[[list[str]], list], nothing: object, leading: bool = False, signs: str = "", most: int | None = None):
         self.compute, self.nothing, self.leading = compute, nothing, leading
         #: Values of segments, by what follows the space that they begin with, or by MARK and the segment.
-        self.spaced = Kept()
+        self.spaced = Kept(KEPT if most is None else most)
         own = re.escape(signs)
         self.cuts = [] if not signs else [
             (rf"([{LATIN}])([{own}])", rf"\1 {MARK}\2"), (rf"([{own}])\n([{LATIN}])", f"\\1 {MARK}\n {MARK}\\2"),

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelkit.llm import alignment, segments
+from panelkit.llm import alignment
 from panelkit.llm.queries import BYTE_MODEL, PIECE_MODEL, QUERIES
 
 DDL = "doc_id long, text string, groups string, block int"
@@ -126,7 +126,7 @@ def test_groups_of_texts(spark, libraries):
 
 
 def test_full_tables_change_nothing(libraries, monkeypatch):
-    monkeypatch.setattr(segments, "KEPT", 5)
+    monkeypatch.setattr(alignment, "KEPT", 5)
     aligner = alignment.Aligner(BYTE_MODEL, PIECE_MODEL)
     texts = [" ".join(f"word{i * k % 17} tion{i % 5}," for i in range(40)) for k in range(1, 9)]
     for _ in range(2):
