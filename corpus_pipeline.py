@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import mixing, pieces, pii, quality, simhash
-from panelkit.llm.common import table
+from panelkit.llm.common import own_name, table
 from panelkit.llm.queries import PIECE_MODEL
 from panelkit.session import shared_path, stage
 
@@ -21,8 +21,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; the number of a text's copies doesn't count against it."""
-    return quality.keep(docs, table(spark, sf_dir, "labels"), once=True)
+    """Documents that the rules keep."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +31,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by key and text, so unlike texts under one key both stay.
     A row with neither is a copy of nothing and stays.
     """
+    name = own_name("row", docs)
     blank = F.col("doc_id").isNull() & F.col("text").isNull()
     row = F.concat_ws("|", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("doc_id").cast("string"))
-    keyed = docs.where(~blank).withColumn("_row", row)
-    found = stage(simhash.near_duplicates(keyed, key="_row"), "near-duplicates")
+    keyed = docs.where(~blank).withColumn(name, row)
+    found = stage(simhash.near_duplicates(keyed, key=name), "near-duplicates")
     own = F.when(F.length("doc_id") > 64, F.substring("doc_id", 66, 1 << 30)).cast(dict(docs.dtypes)["doc_id"])
-    first = F.min(F.struct(own.isNull().alias("unknown"), own.alias("key"), F.col("doc_id").alias("_row")))
-    chosen = found.groupBy("component_id").agg(first.alias("first")).select("first._row")
-    kept = keyed.dropDuplicates(["_row"]).join(chosen, "_row", "left_semi")
+    first = F.min(F.struct(own.isNull().alias("unknown"), own.alias("key"), F.col("doc_id").alias("row")))
+    chosen = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(name))
+    kept = keyed.dropDuplicates([name]).join(chosen, name, "left_semi")
     return kept.select(*docs.columns).unionByName(docs.where(blank))
 
 

@@ -101,7 +101,7 @@ def fit_group(train: DataFrame, n_places: int, response: str, forest: dict, seed
     kind = RandomForestClassifier if classes else RandomForestRegressor
     assemble = VectorAssembler(inputCols=[*[f"{c}_index" for c in (*FIXED, PLACE)], "weekend"], outputCol="features")
     model = kind(
-        labelCol=response, predictionCol="pred_count", maxBins=bins, seed=seed, maxMemoryInMB=512, **forest_settings(forest, classes=classes)
+        labelCol=response, predictionCol="pred_count", maxBins=bins, seed=seed, maxMemoryInMB=512, cacheNodeIds=True, **forest_settings(forest, classes=classes)
     )
     return Pipeline(stages=[assemble, model]).fit(train)
 

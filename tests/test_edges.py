@@ -85,3 +85,17 @@ def test_an_area_that_stopped_has_no_current_numbers(spark):
                       F.col("pct_crash").alias("pct_crash_prev"), F.col("pct_jam").alias("pct_jam_prev"))
     assert metro_scorecard(day, week, "T", "old").count() == 0
     assert metro_scorecard(day, week, "T", "new").count() == 3
+
+
+def test_the_entry_stays_where_a_library_of_the_text_queries_is_missing():
+    """In a process of its own: without one of their libraries the text queries are left out, and all others are there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "import sys; sys.modules['ahocorasick'] = None; sys.modules['corpus_pipeline'] = None\n"
+        "import __spark_entry__ as e; from panelkit.plans.catalog import QUERIES; print(set(e.queries()) == set(QUERIES))"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "True"
