@@ -8,13 +8,16 @@ For each page the posterior of a language is in proportion to four factors:
 * the likelihood of the language that the markup declares, given the true one;
 * the likelihood of the address suffix (the last part of the host), given the language;
 * a prior of the host, smoothed towards that of its domain, and that towards the
-  share over all pages. A page's own text is taken out of the counts of its host
-  and domain, so that it does not speak twice.
+  share over all pages. A page's own text is taken out of the counts of its host,
+  domain and suffix, so that it does not speak twice.
 
 The last three are learned from the pages' text posteriors, summed by group. A
 page that declares nothing, has no host or no text lacks that factor; a page that has
-none of them gets the language that is most frequent over all pages.
-Ties go to the language that comes first in ``LANGUAGES``.
+none of them gets the language that is most frequent over all pages, and a page alone
+on its suffix lacks that factor too. Ties go to the language that comes first by name.
+
+Languages are those that documents are labelled with, ``MAX_LANGUAGES`` at most; more
+are an error. Without any, all pages are in the language ``und``.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import in_batches
 from panelkit.session import stage
 
-LANGUAGES = ("de", "en", "es", "fr")
+MAX_LANGUAGES = 64
 BUCKETS = 1 << 14
 EVIDENCE = 40.0
 #: Weight of the broader level against the counts of a host, domain, suffix or declaration.
@@ -55,7 +58,15 @@ def buckets_of(text: str) -> np.ndarray:
     return (three * np.uint32(2654435761)) >> np.uint32(18)
 
 
-def sequence_counts(docs: DataFrame, languages=LANGUAGES, text: str = "text", lang: str = "lang") -> DataFrame:
+def languages_of(docs: DataFrame, lang: str = "lang", most: int = MAX_LANGUAGES) -> tuple[str, ...]:
+    """The languages of labelled documents in the order of their names."""
+    known = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "")).select(lang).distinct().limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"documents in more than {most} languages; give the languages to tell apart")
+    return tuple(sorted(r[0] for r in known)) or ("und",)
+
+
+def sequence_counts(docs: DataFrame, languages: tuple[str, ...], text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang``, ``bucket``, ``n`` over all documents in a known language.
 
     Each task counts into one array per language, so it sends on a bounded number of rows.
@@ -73,7 +84,7 @@ def sequence_counts(docs: DataFrame, languages=LANGUAGES, text: str = "text", la
     return known.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def log_model(counts: DataFrame, languages=LANGUAGES) -> np.ndarray:
+def log_model(counts: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """Log probability of each bucket in each language; languages x ``BUCKETS`` numbers."""
     model = np.ones((len(languages), BUCKETS))
     for lang, bucket, n in counts.collect():  # at most as many rows
@@ -105,18 +116,19 @@ def text_evidence(pages: DataFrame, model: np.ndarray, key: str = "page_id", htm
 
 
 def softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
+    top = F.array_max(F.array(*logs))
     powers = [F.exp(x - top) for x in logs]
     total = sum(powers[1:], powers[0])
     return [p / total for p in powers]
 
 
-def identify(pages: DataFrame, docs: DataFrame, languages=LANGUAGES, key: str = "page_id") -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...] | None = None, key: str = "page_id") -> DataFrame:
     """Per page: key, ``host``, ``declared``, ``text_lang`` (by text alone), ``lang`` and its ``probability``.
 
     Groups are summed in the map tasks first; the table of hosts is written, so that
     a host with very many pages is split when pages meet it.
     """
+    languages = languages_of(docs) if languages is None else languages
     n_lang = range(len(languages))
     model = log_model(stage(sequence_counts(docs, languages), "sequences"), languages)
     pages_ = text_evidence(pages, model, key)
@@ -153,26 +165,29 @@ def identify(pages: DataFrame, docs: DataFrame, languages=LANGUAGES, key: str =
         return out
 
     def suffix_log(i: int) -> Column:
-        """Log of P(suffix | language i), smoothed towards the suffix's own share."""
-        if not with_suffix["n"]:
-            return F.lit(0.0)
-        own = F.col("s_n") / with_suffix["n"]
-        return F.log((F.col(f"s{i}") + SMOOTHING * own) / (with_suffix[f"s{i}"] + SMOOTHING))
+        """Log of P(suffix | language i) over the other pages, smoothed towards the suffix's own share; NULL without any."""
+        if (with_suffix["n"] or 0) < 2:
+            return F.lit(None).cast("double")
+        own = (F.col("s_n") - 1) / (with_suffix["n"] - 1)
+        rest = F.greatest(F.lit(with_suffix[f"s{i}"]) - F.col(f"p{i}"), F.lit(0.0))
+        return F.when(F.col("s_n") > 1, F.log((less(f"s{i}", i) + SMOOTHING * own) / (rest + SMOOTHING)))
+
+    def less(c: str, i: int) -> Column:
+        return F.greatest(F.col(c) - F.col(f"p{i}"), F.lit(0.0))
 
     def host_log(i: int) -> Column:
-        less = lambda c: F.greatest(F.col(c) - F.col(f"p{i}"), F.lit(0.0))
-        domain = (less(f"d{i}") + SMOOTHING * share[i]) / (F.col("d_n") - 1 + SMOOTHING)
-        return F.log((less(f"h{i}") + SMOOTHING * domain) / (F.col("h_n") - 1 + SMOOTHING))
+        domain = (less(f"d{i}", i) + SMOOTHING * share[i]) / (F.col("d_n") - 1 + SMOOTHING)
+        return F.log((less(f"h{i}", i) + SMOOTHING * domain) / (F.col("h_n") - 1 + SMOOTHING))
 
     logs = [
         F.col("ll")[i] + declared_log(i) + F.coalesce(suffix_log(i), F.lit(0.0)) + F.coalesce(host_log(i), F.lit(math.log(share[i])))
         for i in n_lang
     ]
     fused = weighed.join(table, "host", "left").join(suffixes, "suffix", "left")
-    best = lambda values: F.element_at(F.array(*[F.lit(x) for x in languages]), (F.array_position(F.array(*values), F.greatest(*values))).cast("int"))
+    best = lambda values: F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position(F.array(*values), F.array_max(F.array(*values))).cast("int"))
     posterior = fused.withColumn("posterior", F.array(*softmax(logs)))
     after = [F.col("posterior")[i] for i in n_lang]
     return posterior.select(
         F.col("doc_id").alias(key), "host", "declared", best([F.col(f"p{i}") for i in n_lang]).alias("text_lang"),
-        best(after).alias("lang"), F.greatest(*after).alias("probability"),
+        best(after).alias("lang"), F.array_max(F.array(*after)).alias("probability"),
     )

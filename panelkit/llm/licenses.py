@@ -11,22 +11,27 @@ probability 2^-16 at most.
 What the bands retrieve is verified by the shingles themselves: a template is found
 in a document if the retrieved windows hold at least ``CONTAINED`` of its shingles.
 
-Templates are a parameter: their number, and so the size of the band table that
-is sent to all tasks, is known before anything is read.
+Templates are a parameter, full license texts as well as notices: their number and
+their words, and so the size of the band table that is sent to all tasks, are known
+and bounded before anything is read. A template without a shingle is an error.
 
-Defined results: NULL, empty and short texts hold no template; rows with equal
-keys (NULL counts as one key) are one document; no rows give no rows.
+Defined results: NULL, empty and short texts hold no template; each row is a document
+of its own, whatever its key, so repeated rows and keys give repeated results; no rows
+give no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 BANDS = 16
 CONTAINED = 0.8
-MAX_TEMPLATES = 2000
+#: Bounds of the templates, in number and in words of all of them; a word gives some 300 bytes to send.
+MAX_TEMPLATES, MAX_WORDS = 2000, 100_000
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 # Statements by which common licenses are named or opened.
@@ -76,6 +81,11 @@ def template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """``license`` and the hashes of its template."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates, so that their table may be sent to all tasks")
+    sizes = {n: len([w for w in re.split(r"[\W_]+", t) if w]) for n, t in templates.items()}
+    if sum(sizes.values()) > MAX_WORDS:
+        raise ValueError(f"at most {MAX_WORDS} words in all templates, so that their table may be sent to all tasks")
+    if short := sorted(n for n, size in sizes.items() if size < SHINGLE):
+        raise ValueError(f"templates {short} have fewer than {SHINGLE} words and would never be found")
     listed = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in sorted(templates.items())])
     return spark.range(1).select(F.inline(listed)).select("license", shingles(F.col("text")).alias("hashes"))
 
@@ -91,14 +101,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc
     sought = known.select("license", F.inline(F.concat(windows(F.col("hashes"), 1), single))).select(
         "license", F.posexplode(bands(F.col("a"), F.col("b"))).alias("band", "value")
     ).distinct()
-    cut = docs.select(F.col(key).alias("doc_id"), F.inline(_let(shingles(F.col(text)), lambda h: windows(h, 2))))
-    banded = cut.select("doc_id", "at", "a", "b", F.posexplode(bands(F.col("a"), F.col("b"))).alias("band", "value"))
-    retrieved = banded.join(F.broadcast(sought), ["band", "value"]).select("doc_id", "license", "at", "a", "b").distinct()
-    own = retrieved.select("doc_id", "license", F.inline(F.array(
+    # Where a row stands tells rows apart that share a key.
+    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    cut = rows.select("doc_id", "row", F.inline(_let(shingles(F.col("text")), lambda h: windows(h, 2))))
+    banded = cut.select("doc_id", "row", "at", "a", "b", F.posexplode(bands(F.col("a"), F.col("b"))).alias("band", "value"))
+    retrieved = banded.join(F.broadcast(sought), ["band", "value"]).select("doc_id", "row", "license", "at", "a", "b").distinct()
+    own = retrieved.select("doc_id", "row", "license", F.inline(F.array(
         F.struct(F.col("at").alias("word"), F.col("a").alias("h")), F.struct((F.col("at") + 1).alias("word"), F.col("b").alias("h")))))
     exact = known.select("license", F.explode(F.array_distinct("hashes")).alias("h"), F.size(F.array_distinct("hashes")).cast("long").alias("n_shingles"))
-    held = own.join(F.broadcast(exact), ["license", "h"]).groupBy("doc_id", "license", "n_shingles", "h").agg(F.min("word").alias("word"))
-    counted = held.groupBy("doc_id", "license", "n_shingles").agg(
+    held = own.join(F.broadcast(exact), ["license", "h"]).groupBy("doc_id", "row", "license", "n_shingles", "h").agg(F.min("word").alias("word"))
+    counted = held.groupBy("doc_id", "row", "license", "n_shingles").agg(
         F.count(F.lit(1)).alias("n_found"), F.min("word").cast("long").alias("first_word"))
     share = F.col("n_found") / F.col("n_shingles")
     return counted.withColumn("containment", share).where(F.col("containment") >= CONTAINED).select(

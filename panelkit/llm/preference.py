@@ -5,6 +5,9 @@ prefix of their turns is rendered once, as the prompt; what is left of each is i
 completion. A completion is a list of segments, and only what the assistant says
 (its text and the end mark after it) is to be trained on.
 
+Texts cannot forge a turn: ``<|`` in a text becomes ``<||``, which opens no mark, since
+no role begins with a bar; the signs of marks and line breaks in a role become underscores.
+
 Defined results: turns are ordered by number, then role, then text, and repeated
 turns stay; a NULL role reads unknown, a NULL text is empty; a conversation whose
 partner is missing has a NULL completion on the other side and an empty prompt;
@@ -25,10 +28,19 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def harmless(text: Column) -> Column:
+    """A text without marks; replacing ``<||`` by ``<|`` gives the text back."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<||"))
+
+
+def role_name(role: Column) -> Column:
+    return F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[<|>\r\n]", "_")
+
+
 def pairs(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``pair_id`` with the ordered turns of the ``chosen`` and the ``rejected`` conversation."""
     said = F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        F.col(turn).alias("turn"), role_name(F.col(role)).alias("role"), harmless(F.col(text)).alias("text"))
     side = lambda odd: F.array_sort(F.collect_list(F.when(F.pmod(F.col(key), F.lit(2)) == odd, said)))
     found = turns.where(F.col(key).isNotNull()).groupBy(F.floor(F.col(key) / 2).cast("long").alias("pair_id")).agg(
         side(0).alias("chosen"), side(1).alias("rejected"))

@@ -168,9 +168,10 @@ def op4_license_scan(spark, d):
 
 
 _SAID = "'<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)"
-PREFERENCE_SQL = f"""WITH said AS (SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role,
-  coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i
-  FROM conversations WHERE conv_id IS NOT NULL),
+PREFERENCE_SQL = f"""WITH safe AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[<|>\\r\\n]', '_', 'g') AS role,
+  replace(coalesce(text, ''), '<|', '<||') AS text FROM conversations WHERE conv_id IS NOT NULL),
+said AS (SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM safe),
 sizes AS (SELECT pair_id, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1 FROM said GROUP BY pair_id),
 apart AS (SELECT pair_id, min(i) AS i FROM (SELECT a.pair_id, a.i FROM said a JOIN said b ON a.pair_id = b.pair_id AND a.i = b.i
   WHERE a.side = 0 AND b.side = 1 AND (a.role <> b.role OR a.text <> b.text)) GROUP BY pair_id),

@@ -9,6 +9,7 @@ import pytest
 from panelkit.llm import langid
 from panelkit.llm.queries import QUERIES
 
+LANGUAGES = ("de", "en", "es", "fr")
 SCHEMA = "page_id long, url string, html string, lang string, declared string"
 
 
@@ -26,7 +27,7 @@ def sample(docs, lang, n=1, words=400):
     return [" ".join(r.text.split()[:words]) for r in rows]
 
 
-def plain(rows, model, languages=langid.LANGUAGES):
+def plain(rows, model, languages=LANGUAGES):
     """The same rule, page by page."""
     import re
 
@@ -53,7 +54,8 @@ def plain(rows, model, languages=langid.LANGUAGES):
             logs += np.log((stated[d][0] + s * assumed) / (given + s))
         if host:
             c, n = suffixes[host.split(".")[-1]]
-            logs += np.log((c + s * n / n_hosted) / (hosted + s))
+            if n > 1:
+                logs += np.log((np.maximum(c - p, 0) + s * (n - 1) / (n_hosted - 1)) / (np.maximum(hosted - p, 0) + s))
             (hc, hn), (dc, dn) = hosts[host], domains[".".join(host.split(".")[-2:])]
             prior = (np.maximum(dc - p, 0) + s * share) / (dn - 1 + s)
             logs += np.log((np.maximum(hc - p, 0) + s * prior) / (hn - 1 + s))
@@ -66,15 +68,15 @@ def plain(rows, model, languages=langid.LANGUAGES):
 
 def test_equals_a_plain_version(spark, docs):
     rng = np.random.default_rng(1)
-    bodies = [t for x in langid.LANGUAGES for t in sample(docs, x, 3, 12)] + ["", "?", "x1"]
+    bodies = [t for x in LANGUAGES for t in sample(docs, x, 3, 12)] + ["", "?", "x1"]
     rows = []
     for i in range(150):
         body = bodies[rng.integers(len(bodies))]
         lang = rng.choice(["", ' lang="de"', " lang='FR-ca'", ' lang="xx"', ' class="a" lang=es'])
         url = rng.choice(["http://a.de/x", "https://b.a.de:80/?q", "http://c.fr/", "bad", "ftp://u@d.com/"])
         rows.append((i, str(url), f"<!doctype html><html{lang}><body><p>{body}</p></body></html>"))
-    rows += [(200, None, None), (None, "http://a.de/", ""), (7, "http://a.de/x", "<p>the the</p>")]
-    model = langid.log_model(langid.sequence_counts(docs))
+    rows += [(201, "http://only.one/", f'<html lang="fr">{bodies[0]}</html>'), (200, None, None), (None, "http://a.de/", ""), (7, "http://a.de/x", "<p>the the</p>")]
+    model = langid.log_model(langid.sequence_counts(docs, LANGUAGES), LANGUAGES)
     mine = sorted(((r.page_id, r.lang, round(r.probability, 6)) for r in langid.identify(pages_of(spark, rows), docs).collect()), key=str)
     assert mine == sorted(((r[0], lang, round(p, 6)) for r, (lang, p) in zip(rows, plain(rows, model))), key=str)
 
@@ -87,6 +89,25 @@ def test_evidence_beyond_the_text(spark, docs):
     assert [out[i] for i in (100, 101, 102, 103)] == ["fr", "en", "fr", "en"]
 
 
+def test_languages_are_those_of_the_documents(spark, docs):
+    """A fifth language, in its own letters, is told apart without being named; too many are an error."""
+    fifth = spark.createDataFrame([(10**6 + i, f"новое слово номер {i} и ещё слова", "ru") for i in range(50)], "doc_id long, text string, lang string")
+    more = docs.select("doc_id", "text", "lang").unionByName(fifth)
+    assert langid.languages_of(more) == (*LANGUAGES, "ru")
+    rows = [(1, "http://a.ru/", '<html lang="ru">слова и ещё слово</html>'), (2, "http://b.ru/", "<p>ещё слово</p>"), (3, "http://c.de/", sample(docs, "de")[0])]
+    assert {r.page_id: r.lang for r in langid.identify(pages_of(spark, rows), more).collect()} == {1: "ru", 2: "ru", 3: "de"}
+    with pytest.raises(ValueError, match="more than 4"):
+        langid.languages_of(more, most=4)
+
+
+def test_a_page_alone_on_its_suffix_does_not_speak_twice(spark, docs):
+    text = sample(docs, "fr")[0][:40]
+    rows = [(1, "http://x.alone/", f"<p>{text}</p>"), (2, "http://x.com/", "<p>the of and</p>"), (3, "http://y.com/", "<p>the of and</p>")]
+    alone = {r.page_id: r.probability for r in langid.identify(pages_of(spark, rows), docs).collect()}[1]
+    none = {r.page_id: r.probability for r in langid.identify(pages_of(spark, [(1, "no address", rows[0][2]), *rows[1:]]), docs).collect()}[1]
+    assert alone == pytest.approx(none, abs=0.02)
+
+
 def test_nothing_to_learn_from(spark, docs):
     rows = [(1, "http://a.de/", "<p>und der die</p>"), (2, None, None)]
     assert langid.identify(pages_of(spark, []), docs).collect() == []
