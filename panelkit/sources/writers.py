@@ -52,14 +52,19 @@ def append_once(df: DataFrame, base: str, run_id: str) -> bool:
     return True
 
 
-def publish_snapshot(frames: dict[str, DataFrame], base: str, date: str) -> None:
-    """Publish the deliverables of a day together: readers see all of them, or those that the day had before."""
+def write_deliverables(frames: dict[str, DataFrame], base: str, date: str) -> DataFrame:
+    """Write the deliverables of a day to new folders, which nobody reads yet; their entries for the ledger."""
     spark = next(iter(frames.values())).sparkSession
     paths = {name: ledger.fresh_path(base, name) for name in frames}
     for name, df in frames.items():
         df.write.parquet(paths[name])
     rows = spark.createDataFrame([(date, n, p) for n, p in paths.items()], "snapshot_date string, name string, path string")
-    ledger.commit(rows.withColumn("snapshot_date", F.col("snapshot_date").cast("date")), base)
+    return rows.withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
+
+
+def publish_snapshot(frames: dict[str, DataFrame], base: str, date: str) -> None:
+    """Publish the deliverables of a day together: readers see all of them, or those that the day had before."""
+    ledger.commit(write_deliverables(frames, base, date), base)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

@@ -128,3 +128,26 @@ def test_forest_index_shows_an_error_in_any_step(spark, run_rows, monkeypatch, s
         monkeypatch.setattr(model_queries, "base", SimpleNamespace(**{**vars(baseline), step: wrong}))
     rows = model_queries.forest_index(spark, "").collect()
     assert len(rows) == 5 and all(r.has_predictions for r in rows) == (step is None)
+
+
+def test_the_main_run_equals_sql(spark, run_rows):
+    """Index, outliers and suppression, worked out by SQL from the same predictions."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pred (fips VARCHAR, kind VARCHAR, n BIGINT, p DOUBLE)")
+    for r in model_queries.fitted(None, None).predictions.collect():
+        con.execute("INSERT INTO pred VALUES (?, ?, ?, ?)", [r.fips, r.alert_type, r["count"], r.pred_count])
+    least = {"ACCIDENT": 0.2, "JAM": 0.5, "WEATHERHAZARD": 0.5}
+    kinds = list(least)
+    cells = ", ".join(f"max(n) FILTER (WHERE kind = '{k}') AS n_{k}, max(p) FILTER (WHERE kind = '{k}') AS raw_{k}" for k in kinds)
+    cut = ", ".join(f"CASE WHEN raw_{k} < {x} THEN 0 ELSE raw_{k} END AS p_{k}" for k, x in least.items())
+    change = {k: f"(c_{k} - p_{k}) / nullif(p_{k}, 0)" for k in kinds}
+    wanted = con.execute(f"""WITH wide AS (SELECT fips, {cells} FROM pred GROUP BY fips),
+    clean AS (SELECT *, n_ACCIDENT AS c_ACCIDENT, n_JAM AS c_JAM, CASE WHEN n_WEATHERHAZARD <= 10000 THEN n_WEATHERHAZARD END AS c_WEATHERHAZARD, {cut} FROM wide),
+    total AS (SELECT *, {' + '.join(f'p_{k}' for k in kinds)} AS total FROM clean)
+    SELECT fips, c_WEATHERHAZARD, coalesce(n_WEATHERHAZARD > 10000, false), ({' + '.join(change.values())}) / 3, total, total < 10,
+      {', '.join(f'CASE WHEN total >= 10 THEN p_{k} END' for k in kinds)} FROM total ORDER BY fips""").fetchall()
+    columns = ["fips", "count_WEATHERHAZARD", "is_outlier", "impact_index_th", "pred_count_total", "is_suppressed", *[f"pred_count_{k}" for k in kinds]]
+    found = [tuple(r) for r in model_queries.forest_index_rows(spark, "").select(*columns).orderBy("fips").collect()]
+    assert [tuple(x if not isinstance(x, float) else pytest.approx(x) for x in w) for w in wanted] == found
