@@ -65,19 +65,22 @@ ranges AS (SELECT state, alert_type, min(count) AS lowest, max(count) AS highest
   0::BIGINT AS n_outside, n_places, n_places AS n_near_mean FROM fits JOIN ranges USING (state, alert_type) WHERE n_predicted > 0"""))
 def fit_expected(spark, d):
     """Rows that each model has predicted: how many are no count, or outside the counts that it was fitted to; and at
-    how many of its places the mean prediction is within a quarter of their mean count, which mixed up predictions are not."""
+    how many of its places the mean prediction is nearer to their mean count than a quarter of it, or 45 % of what the
+    places' means span. Where they span much, mixed up or constant predictions are not, at one end of it at least."""
     fit = fitted(spark, d)
     rows = stage(op.compile_predictions(fit.predictions), "compiled")
     train = stage(fit.complete.where("not is_test").groupBy(*BY, "fips").agg(
         F.avg("count").alias("mean"), F.min("count").alias("lowest"), F.max("count").alias("highest")), "trained")
-    ranges = train.groupBy(*BY).agg(F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), F.count(F.lit(1)).alias("n_places"))
+    ranges = train.groupBy(*BY).agg(
+        F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), F.count(F.lit(1)).alias("n_places"), (F.max("mean") - F.min("mean")).alias("span"))
     pred = F.col("pred_count")
     unusable = pred.isNull() | F.isnan(pred)
     outside = (pred < F.col("lowest") - 1e-9) | (pred > F.col("highest") + 1e-9)
     counted = rows.join(ranges, BY).groupBy(*BY, "lowest", "highest", "n_places").agg(
         F.count(F.lit(1)).alias("n_predicted"), F.count_if(unusable).alias("n_unusable"), F.count_if(outside).alias("n_outside"))
-    means = rows.groupBy(*BY, "fips").agg(F.avg("pred_count").alias("predicted")).join(train, [*BY, "fips"])
-    near = F.abs(F.col("predicted") - F.col("mean")) <= 0.25 * F.col("mean") + 1e-9
+    means = rows.groupBy(*BY, "fips").agg(F.avg("pred_count").alias("predicted")).join(train, [*BY, "fips"]).join(ranges.select(*BY, "span"), BY)
+    allowed = F.greatest(0.45 * F.col("span"), 0.25 * F.col("mean"))
+    near = F.abs(F.col("predicted") - F.col("mean")) <= allowed + 1e-9
     return counted.join(means.groupBy(*BY).agg(F.count_if(near).alias("n_near_mean")), BY)
 
 

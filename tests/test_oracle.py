@@ -20,7 +20,7 @@ QUERIES, SQL = driver.queries(), driver.oracle_sql()
 def small_forests():
     """The queries use forests at full strength; here a few trees are enough."""
     full = [(f, dict(f)) for f in (FOREST, FORECAST_FOREST)]
-    FOREST.update(numTrees=3, maxDepth=4)
+    FOREST.update(numTrees=5, maxDepth=8)
     FORECAST_FOREST.update(numTrees=3, maxDepth=4)
     yield
     for settings, before in full:
