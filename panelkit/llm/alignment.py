@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,11 @@ from panelkit.session import stage
 
 #: Most documents and bytes of text in a block, unless a single text has more.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 2 << 20
-#: Most segments of each of two generations that a worker keeps; each takes about 0.4 KB.
+#: Most segments of each of two generations that a worker keeps; each takes about 0.2 KB.
 KEPT = 200_000
+#: What is kept of a segment: numbers of A ids, B ids, groups and linked pairs, and whether both sides spell it; then the pairs, and the groups as text.
+HEAD = np.dtype([("a", "<u4"), ("b", "<u4"), ("groups", "<u4"), ("links", "<u4"), ("spelled", "?")])
+_head = Struct("<4I?")
 DOCUMENT = "n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,segments:int"
 _loaded: dict[tuple[str, str], "Aligner"] = {}
 Group = tuple[list[int], list[int]]
@@ -69,11 +73,7 @@ class Aligner:
             for i, p in enumerate(pieces)
         ]
         self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
-        self.table = SegmentTable(self.segments, self._empty(), leading=True, most=KEPT)
-
-    @staticmethod
-    def _empty() -> tuple:
-        return 0, 0, 0, b"", b"", True
+        self.table = SegmentTable(self.segments, _head.pack(0, 0, 0, 0, True), leading=True, most=KEPT)
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[Group], list[int], list[int]]:
         """The id lists sliced where tokens of both sides end, and the ends of all tokens."""
@@ -86,11 +86,15 @@ class Aligner:
             i, j = k, m
         return out, ends_a, ends_b
 
-    def aligned(self, segment: str, a: list[int], b: list[int]) -> tuple:
-        """Numbers of A ids, B ids and groups; the groups as text; linked pairs; whether both sides spell the segment."""
+    def spells(self, segment: str, a: list[int], b: list[int]) -> bool:
+        """Whether the tokens of both sides are the segment's bytes."""
         spelled = segment.encode()
-        if b"".join([self.bytes_a[i] for i in a]) != spelled or b"".join([self.bytes_b[i] for i in b]) != spelled:
-            return 0, 0, 0, b"", b"", False
+        return b"".join([self.bytes_a[i] for i in a]) == spelled and b"".join([self.bytes_b[i] for i in b]) == spelled
+
+    def aligned(self, segment: str, a: list[int], b: list[int]) -> bytes:
+        """A segment's head, linked pairs and groups as one string of bytes, which takes the least memory."""
+        if not self.spells(segment, a, b):
+            return _head.pack(0, 0, 0, 0, False)
         groups, ends_a, ends_b = self.groups(a, b)
         links: list[int] = []
         i = j = 0
@@ -109,36 +113,37 @@ class Aligner:
                     k, m = k + (x < y), m + (y < x)
             i, j = i + len(own), j + len(other)
         text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        return len(a), len(b), len(groups), text.encode(), np.array(links, "<i8").tobytes(), True
+        return _head.pack(len(a), len(b), len(groups), len(links), True) + np.array(links, "<i8").tobytes() + text.encode()
 
     def ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides for segments, each of which begins with a space."""
         a = [memoryview(i).cast("I").tolist() for i in self.a.segments(segments)]
         return a, self.b.encode([s[1:] for s in segments], num_threads=1) if segments else []
 
-    def segments(self, segments: list[str]) -> list[tuple]:
+    def segments(self, segments: list[str]) -> list[bytes]:
         return [self.aligned(s, x, y) for s, x, y in zip(segments, *self.ids(segments))]
 
     def block(self, rows: pa.RecordBatch) -> dict:
         """What is known of a block's documents, their segments, and the distinct pairs of its links."""
         values, which, ends = self.table.values(rows.column("text"))
-        spelled = np.fromiter((v[5] for v in values), bool, len(values))
+        spelled = heads(values)["spelled"]
         if not spelled[which].all():
             # A text that is not spelled segment by segment may still be as a whole.
             row_of = np.repeat(np.arange(rows.num_rows), np.diff(ends))
             parts = [which[a:b] for a, b in zip(ends, ends[1:])]
             for row in np.unique(row_of[~spelled[which]]).tolist():
                 value, = self.segments([" " + rows.column("text")[row].as_py()])
-                parts[row] = np.array([len(values)] if value[5] else [], np.int64)
+                parts[row] = np.array([len(values)] if heads([value])["spelled"][0] else [], np.int64)
                 values.append(value)
             which, ends = np.concatenate(parts), np.r_[0, np.cumsum(list(map(len, parts)))]
         used, which = np.unique(which, return_inverse=True)
         values = [values[i] for i in used.tolist()]
-        links = [v[4] for v in values]
-        size = np.fromiter(map(len, links), np.int64, len(links)) // 8
-        codes, pair = np.unique(np.frombuffer(b"".join(links), "<i8"), return_inverse=True)
-        total = lambda k: sums(np.fromiter((v[k] for v in values), np.int64, len(values))[which], ends)
-        texts_of = [v[3] for v in values]
+        head = heads(values)
+        size = head["links"].astype(np.int64)
+        after = (HEAD.itemsize + 8 * size).tolist()
+        codes, pair = np.unique(np.frombuffer(b"".join([v[HEAD.itemsize:n] for v, n in zip(values, after)]), "<i8"), return_inverse=True)
+        total = lambda k: sums(head[k].astype(np.int64)[which], ends)
+        texts_of = [v[n:] for v, n in zip(values, after)]
         shown, listed = [], which.tolist()
         for a, b in zip(ends.tolist(), ends[1:].tolist()):
             shown.append(hashlib.sha256(b";".join([texts_of[i] for i in listed[a:b]])).hexdigest() if b > a else "")
@@ -148,7 +153,7 @@ class Aligner:
         row_of, own = np.divmod(own, max(1, len(values)))
         row_of, own = np.repeat(row_of, size[own]), gathered(pair, size, own)
         held = np.bincount(np.unique(row_of * max(1, len(codes)) + own) % max(1, len(codes)), minlength=len(codes))
-        columns = [rows.column("doc_id"), total(0), total(1), total(2), sums(size[which], ends), shown, np.diff(ends).astype(np.int32)]
+        columns = [rows.column("doc_id"), total("a"), total("b"), total("groups"), total("links"), shown, np.diff(ends).astype(np.int32)]
         names = ["doc_id", *[f.split(":")[0] for f in DOCUMENT.split(",")]]
         docs = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
         return {
@@ -157,6 +162,11 @@ class Aligner:
         }
 
 
+def heads(values: list[bytes]) -> np.ndarray:
+    """The heads of what is known of segments."""
+    return np.frombuffer(b"".join([v[:HEAD.itemsize] for v in values]), HEAD)
+
+
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of ``values[ends[i]:ends[i + 1]]``."""
     upto = np.r_[0, np.cumsum(values)]
@@ -258,7 +268,7 @@ def align(docs: DataFrame, byte_model: str, piece_model: str, key: str = "doc_id
                 own = rows.column("text").to_pylist()
                 out = []
                 for text, a, b in zip(own, *aligner.ids([f" {t}" for t in own])):
-                    fits = text and aligner.aligned(f" {text}", a, b)[5]
+                    fits = text and aligner.spells(f" {text}", a, b)
                     out.append([{"a": x, "b": y} for x, y in aligner.groups(a, b)[0]] if fits else [])
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(out, fields.field("groups").type)], schema=fields)
 
