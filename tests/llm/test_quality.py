@@ -90,6 +90,30 @@ def test_copies_of_a_text_change_no_score(spark):
     assert {k: v for k, v in after.items() if k < 10**6} == before
 
 
+def test_all_trusted_documents_count(spark):
+    """More of them than a list of 20,000: each is counted or held out."""
+    n = 21_000
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    docs = spark.range(n + 100).selectExpr("id AS doc_id", "concat('word', id) AS text")
+    trusted = quality.trusted_keys(labels)
+    assert trusted.count() == n
+    fit = {r.doc_id for r in trusted.where("fit").collect()}
+    good = np.zeros(quality.BUCKETS, np.int64)
+    for i in fit:
+        good[quality.buckets_of(quality.WordCodes().of([b"word%d" % i]))] += 1
+    counts = quality.bucket_counts(docs, trusted).collect()
+    assert sum(r.n_raw for r in counts) == n + 100
+    assert {r.bucket: r.n_trusted for r in counts if r.n_trusted} == {i: k for i, k in enumerate(good.tolist()) if k}
+
+
+def test_the_threshold_is_that_of_all_held_out_documents(spark):
+    n = 50_000
+    keys = spark.range(n).selectExpr("id AS doc_id", "id % 2 = 0 AS fit")
+    scored = spark.range(n).selectExpr("id AS doc_id", "IF(id % 100 = 1, null, -cast(id AS double)) AS score")
+    held = [-float(i) for i in range(n) if i % 2 and i % 100 != 1]
+    assert abs(quality._threshold(scored, keys) - (np.quantile(held, quality.LOST) - quality.SLACK)) < 1e-7
+
+
 def test_names_of_the_users_columns_do_not_clash(corpus):
     docs, labels = corpus
     odd = docs.withColumnRenamed("kept", "_kept").withColumnRenamed("score", "Kept")
