@@ -2,8 +2,9 @@
 
 Rows are ordered by a hash of their key, and the first k of a group are its sample,
 so a sample is the same in every run and on every cluster. No task sorts a group:
-hashes are reduced to frequencies, whose running totals (:mod:`ranks`) give the k-th
-smallest hash of each group as its cut.
+hashes are counted by their leading bits, and running totals (:mod:`ranks`) tell which
+of these slices holds the k-th smallest hash of a group. The hashes of that slice alone
+are then reduced to frequencies, whose running totals give the hash itself as the cut.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from panelkit.session import stage
 SEED = 2019
 #: Hex digits of the digest that make up a hash.
 DIGITS = 15
+#: Leading bits of a hash by which it is counted first.
+SLICE_BITS = 12
 #: Copies of a row that one task gives back at once.
 COPIES = 1 << 16
 
@@ -30,17 +33,26 @@ def key_hash(columns: list[str], seed: int = SEED) -> Column:
 
 
 def cuts(hashed: DataFrame, by: list[str], order: str, size: Column) -> DataFrame:
-    """Per group the value ``_cut`` of ``order`` up to which rows are chosen, and how many of those that hold it (``_left``).
+    """Per group the value ``_cut`` of a hash, ``order``, up to which rows are chosen, and how many of those that hold it (``_left``).
 
     ``size`` is the number of rows to choose, from ``_total``, the rows of the group.
     """
-    counted = stage(hashed.groupBy(*by, order).agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    sliced = hashed.select(*by, order, F.shiftright(order, 4 * DIGITS - SLICE_BITS).alias("_cut"))
+    counted = stage(sliced.groupBy(*by, "_cut").agg(F.count(F.lit(1)).alias("n")), "slices")
     totals = counted.groupBy(*by).agg(F.sum("n").alias("_total")).withColumn("_size", F.least(F.greatest(size, F.lit(0)), F.col("_total")))
+    # Written, so that its size is known where it meets all rows.
+    slices = stage(_holding(counted, totals, by, "_cut").withColumnRenamed("_left", "_size"), "cuts")
+    inside = null_safe_join(sliced, slices.drop("_size"), [*by, "_cut"], "inner").groupBy(*by, order).agg(F.count(F.lit(1)).alias("n"))
+    return _holding(stage(inside, "frequencies"), slices.select(*by, "_size"), by, order).withColumnRenamed(order, "_cut")
+
+
+def _holding(counted: DataFrame, sizes: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Per group the value of ``order`` that holds the ``_size``-th row, and how many rows up to that come from the value (``_left``)."""
     ranked = running_totals(counted, by, order, ["n"])
-    sized = null_safe_join(ranked, totals, by, "inner") if by else ranked.withColumn("_size", totals.select("_size").scalar())
+    sized = null_safe_join(ranked, sizes, by, "inner") if by else ranked.withColumn("_size", sizes.select("_size").scalar())
     before = F.col("n_upto") - F.col("n")
     inside = sized.where((before < F.col("_size")) & (F.col("_size") <= F.col("n_upto")))
-    return inside.select(*by, F.col(order).alias("_cut"), (F.col("_size") - before).alias("_left"))
+    return inside.select(*by, order, (F.col("_size") - before).alias("_left"))
 
 
 def choose(df: DataFrame, by: list[str], size: Column, keys: list[str] | None = None, name: str = "chosen", seed: int = SEED) -> DataFrame:
@@ -56,9 +68,8 @@ def choose(df: DataFrame, by: list[str], size: Column, keys: list[str] | None =
     if reserved:
         raise ValueError(f"columns {reserved} have names that the sample needs")
     columns = df.columns
-    hashed = df.withColumn("_hash", key_hash(keys or columns, seed))
-    first = cuts(hashed, by, "_hash", size)
-    marked = stage(_at_cut(hashed, first, by), "marked")
+    hashed = stage(df.withColumn("_hash", key_hash(keys or columns, seed)), "hashed")
+    marked = _at_cut(hashed, stage(cuts(hashed, by, "_hash", size), "cuts"), by)
     below = F.coalesce(F.col("_hash") < F.col("_cut"), F.lit(False))
     tied = F.col("_hash") == F.col("_cut")
     sure = marked.where(~F.coalesce(tied, F.lit(False))).select(*columns, below.alias(name))
@@ -96,6 +107,6 @@ def exact_split(
     """
     kept = df.dropna(subset=list(complete)) if complete else df
     if thin is not None:
-        kept = stage(choose(kept, by, share_of(thin), keys, "chosen", seed + 1).where("chosen").drop("chosen"), "thinned")
+        kept = choose(kept, by, share_of(thin), keys, "chosen", seed + 1).where("chosen").drop("chosen")
     train = choose(kept, by, share_of(round(1 - test_share, 9)), keys, "is_train", seed)
     return train.select(*df.columns, (~F.col("is_train")).alias("is_test"))

@@ -136,6 +136,25 @@ def test_ties_are_cut_exactly(spark, size):
     assert Counter(tuple(r)[:2] for r in out.collect()) == Counter(tuple(r) for r in df.collect())
 
 
+def test_only_a_slice_of_the_hashes_is_ranked(spark, monkeypatch):
+    """Frequencies of single hashes stay a small part of the rows, and the first rows by the hash are chosen."""
+    ranked = []
+
+    def seen(df, name="stage", partition_by=()):
+        out = stage(df, name, partition_by)
+        if name == "frequencies":
+            ranked.append(out.count())
+        return out
+
+    monkeypatch.setattr(samples, "stage", seen)
+    df = spark.range(20_000).selectExpr("id", "id % 2 AS g")
+    out = samples.choose(df, ["g"], F.lit(3_000)).withColumn("h", samples.key_hash(["id", "g"])).collect()
+    assert ranked and sum(ranked) < 200
+    for g in (0, 1):
+        own = sorted((r.h, r.chosen) for r in out if r.g == g)
+        assert [chosen for _, chosen in own] == [True] * 3_000 + [False] * 7_000
+
+
 def test_copies_come_back_in_parts(spark, monkeypatch):
     monkeypatch.setattr(samples, "COPIES", 7)
     out = samples.choose(spark.range(100).selectExpr("'x' AS k"), [], F.lit(33))
