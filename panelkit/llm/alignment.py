@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
-from struct import Struct
+from struct import Struct, pack
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,7 @@ class Aligner:
             for i, p in enumerate(pieces)
         ]
         self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.shown_a, self.shown_b = ([*map(str, range(len(x)))] for x in (self.size_a, self.size_b))
         self.table = SegmentTable(self.segments, _head.pack(0, 0, 0, 0, True), leading=True, most=KEPT)
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[Group], list[int], list[int]]:
@@ -95,25 +96,37 @@ class Aligner:
         """A segment's head, linked pairs and groups as one string of bytes, which takes the least memory."""
         if not self.spells(segment, a, b):
             return _head.pack(0, 0, 0, 0, False)
-        groups, ends_a, ends_b = self.groups(a, b)
-        links: list[int] = []
-        i = j = 0
-        for own, other in groups:
-            if len(own) == 1:
-                links += [own[0] << 32 | y for y in other]
-            elif len(other) == 1:
-                links += [x << 32 | other[0] for x in own]
+        if not a:
+            return _head.pack(0, 0, 0, 0, True)
+        # One walk over both sides: the token that ends first is followed, and where both end a group does.
+        size_a, size_b, shown_a, shown_b = self.size_a, self.size_b, self.shown_a, self.shown_b
+        rest_a, rest_b = iter(a), iter(b)
+        x, y = next(rest_a), next(rest_b)
+        end_a, end_b, text = size_a[x], size_b[y], ""
+        own, other, links, groups = shown_a[x], shown_b[y], [x << 32 | y], 1
+        add = links.append
+        while True:
+            if end_a < end_b:
+                x = next(rest_a)
+                end_a += size_a[x]
+                own += "," + shown_a[x]
+            elif end_b < end_a:
+                y = next(rest_b)
+                end_b += size_b[y]
+                other += "," + shown_b[y]
             else:
-                k, m = i, j
-                while True:
-                    links.append(a[k] << 32 | b[m])
-                    x, y = ends_a[k], ends_b[m]
-                    if x == y:
-                        break
-                    k, m = k + (x < y), m + (y < x)
-            i, j = i + len(own), j + len(other)
-        text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        return _head.pack(len(a), len(b), len(groups), len(links), True) + np.array(links, "<i8").tobytes() + text.encode()
+                text += own + "|" + other
+                x = next(rest_a, None)
+                if x is None:
+                    break
+                y = next(rest_b)
+                end_a += size_a[x]
+                end_b += size_b[y]
+                text += ";"
+                own, other = shown_a[x], shown_b[y]
+                groups += 1
+            add(x << 32 | y)
+        return _head.pack(len(a), len(b), groups, len(links), True) + pack(f"<{len(links)}q", *links) + text.encode()
 
     def ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides for segments, each of which begins with a space."""

@@ -146,3 +146,20 @@ def test_the_query_on_whole_documents(spark, libraries):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     same(shown(QUERIES["op12_token_alignment"](spark, d)), plain(libraries, rows))
+
+
+def test_a_segment_is_walked_once(monkeypatch):
+    """Its groups and links are those of the sliced id lists, found without slicing them."""
+    own = alignment.loaded(BYTE_MODEL, PIECE_MODEL)
+    segments = [" a", " Überraschung,", " 北京大学", " tokenization's", " \t\n x", " é\U0001f600"]
+    wanted = []
+    for a, b in zip(*own.ids(segments)):
+        groups = own.groups(a, b)[0]
+        wanted.append((len(a), len(b), len(groups), ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)))
+    monkeypatch.setattr(own, "groups", None)
+    got = []
+    for value in own.segments(segments):
+        head = alignment.heads([value])[0]
+        assert head["spelled"]
+        got.append((head["a"], head["b"], head["groups"], value[alignment.HEAD.itemsize + 8 * int(head["links"]):].decode()))
+    assert got == wanted
