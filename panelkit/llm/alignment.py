@@ -4,6 +4,7 @@ Both tokenizers' tokens are spelled as bytes and laid over the same text. Where
 tokens of both end, the text is cut: a dictionary for each side maps ends to
 indexes, the keys that both hold are sorted, and they slice the two id lists into
 groups. Within a group, tokens whose byte ranges overlap are linked.
+``describe`` finds the same groups and links in one walk over both sides.
 
 Both tokenizers put a space in front of a token and join nothing over it, so such a
 place is a common end in any text. The groups of a segment between two of them are
