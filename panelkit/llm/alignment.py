@@ -13,7 +13,8 @@ found once and kept; a text's groups are those of its segments.
 How many documents hold a pair of ids is counted over all of them. Tasks put
 documents into blocks and count for each block the distinct pairs, so what is
 shuffled are pairs of blocks, not links. Counts go back to the blocks the same way,
-and sum up there: over the links of each segment, then over the segments of each text.
+and sum up there. For that a block keeps which pairs each of its documents holds and
+how often, as gaps in their order, which takes a small part of the text's own size.
 
 Defined results: a text that is NULL or empty, or that one side's tokens do not
 spell, has no tokens; rows with equal or NULL keys count as documents of their own.
@@ -42,12 +43,14 @@ from panelkit.session import stage
 
 #: Most documents and bytes of text in a block, unless a single text has more.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 2 << 20
+#: Most segments whose links are spread out at a time, unless a single text has more.
+SPREAD = 1 << 16
 #: Most segments of each of two generations that a worker keeps; each takes about 0.2 KB.
 KEPT = 200_000
 #: What is kept of a segment: numbers of A ids, B ids, groups and linked pairs, and whether both sides spell it; then the pairs, and the groups as text.
 HEAD = np.dtype([("a", "<u4"), ("b", "<u4"), ("groups", "<u4"), ("links", "<u4"), ("spelled", "?")])
 _head = Struct("<4I?")
-DOCUMENT = "n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,segments:int"
+DOCUMENT = "n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string"
 _loaded: dict[tuple[str, str], "Aligner"] = {}
 Group = tuple[list[int], list[int]]
 
@@ -161,18 +164,13 @@ class Aligner:
         shown, listed = [], which.tolist()
         for a, b in zip(ends.tolist(), ends[1:].tolist()):
             shown.append(hashlib.sha256(b";".join([texts_of[i] for i in listed[a:b]])).hexdigest() if b > a else "")
-        # Each pair once a document: distinct segments first, and then their pairs.
-        row_of = np.repeat(np.arange(rows.num_rows), np.diff(ends))
-        own = np.unique(row_of * max(1, len(values)) + which)
-        row_of, own = np.divmod(own, max(1, len(values)))
-        row_of, own = np.repeat(row_of, size[own]), gathered(pair, size, own)
-        held = np.bincount(np.unique(row_of * max(1, len(codes)) + own) % max(1, len(codes)), minlength=len(codes))
-        columns = [rows.column("doc_id"), total("a"), total("b"), total("groups"), total("links"), shown, np.diff(ends).astype(np.int32)]
+        own, times = held_pairs(pair, size, which, ends, len(codes))
+        held = np.bincount(own % max(1, len(codes)), minlength=len(codes))
+        columns = [rows.column("doc_id"), total("a"), total("b"), total("groups"), total("links"), shown]
         names = ["doc_id", *[f.split(":")[0] for f in DOCUMENT.split(",")]]
         docs = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
         return {
-            "docs": docs.to_struct_array(), "words": packed(which), "sizes": packed(size), "pairs": packed(pair),
-            "codes": codes, "held": held,
+            "docs": docs.to_struct_array(), "gaps": packed(np.diff(own, prepend=0)), "times": packed(times), "codes": codes, "held": held,
         }
 
 
@@ -195,14 +193,38 @@ def gathered(values: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndar
     return values[np.repeat(shift, own) + np.arange(own.sum())]
 
 
+def held_pairs(pair: np.ndarray, size: np.ndarray, which: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of each document in order, as document * ``n`` + pair, and how many links each stands for."""
+    own, times, at, last = [], [], 0, len(ends) - 1
+    while at < last:
+        upto = min(last, max(at + 1, int(np.searchsorted(ends, ends[at] + SPREAD, "right")) - 1))
+        part = which[ends[at]:ends[upto]]
+        if upto == at + 1:
+            # A single text, which may be of any length: what it takes grows with its distinct segments.
+            links = np.bincount(pair, np.repeat(np.bincount(part, minlength=len(size)), size), n).astype(np.int64)
+            found = np.flatnonzero(links)
+            own.append(at * n + found)
+            times.append(links[found])
+        else:
+            row_of = np.repeat(np.repeat(np.arange(at, upto), np.diff(ends[at:upto + 1])), size[part])
+            found = np.unique(row_of * n + gathered(pair, size, part), return_counts=True)
+            own.append(found[0])
+            times.append(found[1])
+        at = upto
+    return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (own, times))
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Integers from 0 in as many bytes as the largest needs, after one byte that says so."""
-    width = 2 if not len(values) or values.max() < 1 << 16 else 4
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    """Integers from 0, mostly small: how many, and a compressed plane of each of their bytes."""
+    width = 4 if not len(values) or values.max() < 1 << 32 else 8
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return pack("<Q", len(values)) + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    n, width = Struct("<QB").unpack_from(data)
+    planes = pa.decompress(memoryview(data)[9:], n * width, "zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}").ravel().astype(np.int64)
 
 
 def loaded(byte_model: str, piece_model: str) -> Aligner:
@@ -215,7 +237,7 @@ def loaded(byte_model: str, piece_model: str) -> Aligner:
 def blocks(docs: DataFrame, byte_model: str, piece_model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents in blocks, with the distinct pairs (``codes``) of each block and how many of its documents hold them."""
     kind = dict(docs.dtypes)[key]
-    schema = f"block bigint, docs array<struct<doc_id:{kind},{DOCUMENT}>>, words binary, sizes binary, pairs binary, codes array<bigint>, held array<int>"
+    schema = f"block bigint, docs array<struct<doc_id:{kind},{DOCUMENT}>>, gaps binary, times binary, codes array<bigint>, held array<int>"
     own = texts(docs, key, text)
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -245,7 +267,7 @@ def describe(docs: DataFrame, byte_model: str, piece_model: str, key: str = "doc
     found = stage(blocks(docs, byte_model, piece_model, key, text), "blocks")
     needed = found.select("block", F.posexplode("codes").alias("place", "code"))
     given = needed.join(pair_counts(found), "code").groupBy("block").agg(F.collect_list(F.struct("place", "n", "best")).alias("given"))
-    joined = found.select("block", "docs", "words", "sizes", "pairs").join(given, "block", "left").drop("block")
+    joined = found.select("block", "docs", "gaps", "times").join(given, "block", "left").drop("block")
     kind = dict(docs.dtypes)[key]
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     fields = to_arrow_schema(StructType.fromDDL(schema))
@@ -254,16 +276,17 @@ def describe(docs: DataFrame, byte_model: str, piece_model: str, key: str = "doc
         for batch in batches:
             for at in range(batch.num_rows):
                 own = batch.column("docs")[at].values
-                which, size, pair = (unpacked(batch.column(c)[at].as_py()) for c in ("words", "sizes", "pairs"))
-                ends = np.r_[0, np.cumsum(own.field("segments").to_numpy(zero_copy_only=False))].astype(np.int64)
+                gaps, times = (unpacked(batch.column(c)[at].as_py()) for c in ("gaps", "times"))
                 known = batch.column("given")[at].values
+                n = 0 if known is None else len(known)
+                row_of, pair = np.divmod(np.cumsum(gaps), max(1, n))
+                ends = np.searchsorted(row_of, np.arange(len(own) + 1))
                 out = {name: own.field(name) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
                 for name, column in (("n_best", "best"), ("count_sum", "n")):
-                    value = np.zeros(int(pair.max()) + 1 if len(pair) else 0, np.int64)
-                    if len(value):
+                    value = np.zeros(n, np.int64)
+                    if n:
                         value[known.field("place").to_numpy()] = known.field(column).to_numpy(zero_copy_only=False)
-                    each = sums(value[pair], np.r_[0, np.cumsum(size)])
-                    out[name] = pa.array(sums(each[which], ends))
+                    out[name] = pa.array(sums(value[pair] * times, ends))
                 yield pa.RecordBatch.from_arrays([out[f.name] for f in fields], schema=fields)
 
     return joined.mapInArrow(run, schema)

@@ -142,6 +142,40 @@ def test_counts_of_pairs(spark):
     assert sorted(r.n for r in found) == [1, 2] and all(r.best for r in found)
 
 
+def rows_of(texts):
+    return alignment.pa.RecordBatch.from_arrays([alignment.pa.array(range(len(texts))), alignment.pa.array(texts)], names=["doc_id", "text"])
+
+
+def test_a_block_keeps_little_of_its_links():
+    """What goes back to the counts is a small part of the text, though most segments are new ones."""
+    texts = [" ".join(f"{w}{(7919 * k * i) % 9973}" for i, w in enumerate(["Reports", "of", "the", "markets,", "Tuesday's"] * 60)) for k in range(1, 60)]
+    block = alignment.loaded(BYTE_MODEL, PIECE_MODEL).block(rows_of(texts))
+    assert sum(len(v) for v in block.values() if isinstance(v, bytes)) < sum(map(len, texts)) / 3
+
+
+@pytest.mark.parametrize("spread", [1, 40, 1 << 16])
+def test_pairs_that_documents_hold(libraries, monkeypatch, spread):
+    monkeypatch.setattr(alignment, "SPREAD", spread)
+    texts = ["the cat, the cat", "", "tokenization " * 50 + "ends", "é", "", "the", "Unbelievable cat's " * 3, ""]
+    block = alignment.loaded(BYTE_MODEL, PIECE_MODEL).block(rows_of(texts))
+    codes = [int(c) for c in block["codes"]]
+    found = {k: {} for k in range(len(texts))}
+    for own, times in zip(alignment.np.cumsum(alignment.unpacked(block["gaps"])).tolist(), alignment.unpacked(block["times"]).tolist()):
+        found[own // len(codes)][codes[own % len(codes)]] = times
+    holders = Counter()
+    for k, text in enumerate(texts):
+        a, b = tokens(libraries, text)
+        links = Counter(x << 32 | y for x, start, end in a for y, low, high in b if low < end and start < high)
+        assert found[k] == links
+        holders.update(links.keys())
+    assert dict(zip(codes, block["held"].tolist())) == holders
+
+
+def test_packed_integers():
+    for values in ([], [0], [1, 300, 0, 70_000], [1 << 40, 5]):
+        assert alignment.unpacked(alignment.packed(alignment.np.array(values, "i8"))).tolist() == values
+
+
 def test_the_query_on_whole_documents(spark, libraries):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
